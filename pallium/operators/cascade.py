@@ -103,6 +103,24 @@ def tokenize_cascade(
     return df
 
 
+def explode_rows(df: DataFrame, keep: list[str], c: Column, name: str, pos: str | None = None) -> DataFrame:
+    """One row per element of an array column (``pos``: 0-based position);
+    rows without elements vanish.
+
+    The outer generator followed by a null filter on its output is used on
+    purpose: for an inner explode the optimizer infers ``size(c) > 0`` and
+    pushes that predicate below the projections and the spreading shuffle,
+    which copies the whole cascade into a filter running before the
+    repartition (computed twice, the first time unspread). A filter on the
+    generator's own output cannot be pushed below it.
+    """
+    if pos is None:
+        out = df.select(*keep, F.explode_outer(c).alias(name))
+    else:
+        out = df.select(*keep, F.posexplode_outer(c).alias(pos, name))
+    return out.filter(F.col(name).isNotNull())
+
+
 def mapping(entries: Column | str) -> Column:
     """Token -> value map built from ordered entries."""
     e = F.col(entries) if isinstance(entries, str) else entries
@@ -124,26 +142,22 @@ def type_count(entries: Column | str, entity_type: str) -> Column:
 def counts_by_type(df: DataFrame, key_cols: list[str], entries_col: str = "entries") -> DataFrame:
     """D13 as rows ``(keys..., entity_type, n_entities)``; types without hits
     are absent. Counting happens inside each row (no shuffle)."""
-    return df.select(
-        *key_cols,
-        F.explode(
-            F.filter(
-                F.array(
-                    *[
-                        F.struct(F.lit(t).alias("entity_type"), type_count(entries_col, t).alias("n_entities"))
-                        for t in CASCADE_TYPES
-                    ]
-                ),
-                lambda x: x["n_entities"] > 0,
-            )
-        ).alias("c"),
-    ).select(*key_cols, "c.entity_type", "c.n_entities")
+    per_type = F.filter(
+        F.array(
+            *[
+                F.struct(F.lit(t).alias("entity_type"), type_count(entries_col, t).alias("n_entities"))
+                for t in CASCADE_TYPES
+            ]
+        ),
+        lambda x: x["n_entities"] > 0,
+    )
+    return explode_rows(df, key_cols, per_type, "c").select(*key_cols, "c.entity_type", "c.n_entities")
 
 
 def token_vault(df: DataFrame, key_cols: list[str], entries_col: str = "entries") -> DataFrame:
     """One row per issued token ``(keys..., seq, entity_type, n, token,
     value)``; ``seq`` is the 0-based insertion position in the mapping."""
-    return df.select(*key_cols, F.posexplode(entries_col).alias("seq", "e")).select(
+    return explode_rows(df, key_cols, F.col(entries_col), "e", pos="seq").select(
         *key_cols,
         F.col("seq").cast("bigint").alias("seq"),
         "e.entity_type",
@@ -153,17 +167,15 @@ def token_vault(df: DataFrame, key_cols: list[str], entries_col: str = "entries"
     )
 
 
-def pii_census(vault: DataFrame, docs: DataFrame, doc_key: str, group_col: str) -> DataFrame:
+def pii_census(vault: DataFrame, doc_key: str, group_col: str) -> DataFrame:
     """Documents and entities per (group, entity type) with subtotals.
 
-    ``vault`` holds one row per token (D19) and ``docs`` one row per document
-    with ``group_col``. A ``rollup`` gives the per-group and grand totals; the
-    entity count is pre-aggregated map-side, and the distinct-document count is
-    a shuffle on (group, type, doc) keys, so a hot document or group is split
-    over many tasks.
+    ``vault`` holds one row per token (D19) carrying ``group_col``. A
+    ``rollup`` gives the per-group and grand totals; the entity count is
+    pre-aggregated map-side, and the distinct-document count shuffles on
+    (group, type, doc) keys, so a hot document or group is spread over tasks.
     """
-    joined = vault.select(doc_key, "entity_type").join(docs.select(doc_key, group_col), doc_key)
-    return joined.rollup(group_col, "entity_type").agg(
+    return vault.rollup(group_col, "entity_type").agg(
         F.count(F.lit(1)).alias("n_entities"),
         F.countDistinct(doc_key).alias("n_docs"),
     )

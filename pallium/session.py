@@ -27,6 +27,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Python keeps the last of duplicate JSON keys; so does the variant parser
+        # with this setting (used by the strict answer check).
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config("spark.driver.memory", "16g")
         .getOrCreate()
     )
