@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def _load() -> None:
     # Importing the modules registers their queries.
-    from pallium.plans import pii_queries  # noqa: F401
+    from pallium.plans import pii_queries, text_queries  # noqa: F401
 
 
 def all_queries():
