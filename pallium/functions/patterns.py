@@ -51,6 +51,7 @@ MSG_FILE_NOT_FOUND = "File not found: "  # followed by the path
 MSG_BLANK_FILE = "No text content found in the document"
 MSG_BLANK_TEXT = "No text content provided"
 MSG_BAD_ANSWER = "Failed to parse JSON response"
+MSG_CALL_FAILED = "API call failed: "  # followed by the last error
 
 # Keys of the record stored when an answer is not valid JSON.
 BAD_ANSWER_KEYS = ("error", "raw_content")
