@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def _load() -> None:
     # Importing the modules registers their queries.
-    from pallium.plans import answer_queries, pii_queries, store_queries, text_queries  # noqa: F401
+    from pallium.plans import answer_queries, pii_queries, span_queries, store_queries, text_queries  # noqa: F401
 
 
 def all_queries():
