@@ -100,7 +100,24 @@ def tokenize_cascade(
             entries_col,
             F.when(no_match, F.col(entries_col)).otherwise(F.concat(F.col(entries_col), new_entries)),
         ).drop(parts)
-    return df
+    return barrier(df, [out_col, entries_col])
+
+
+def barrier(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Re-emit ``cols`` through a generator so the optimizer cannot push
+    predicates on them below this point.
+
+    A filter on the cascade's output would otherwise be pushed through the
+    stage projections with every alias substituted; as each stage refers to
+    its split array several times, the substituted predicate grows
+    exponentially with the number of stages, and it would run before the
+    rows are spread over tasks. Predicates on a generator's output stay above
+    the generator; the outer form keeps the optimizer from inferring a
+    ``size > 0`` predicate over the same expressions. One row in, one row out.
+    """
+    keep = [c for c in df.columns if c not in cols]
+    packed = F.array(F.struct(*[F.col(c) for c in cols]))
+    return df.select(*keep, F.inline_outer(packed))
 
 
 def explode_rows(df: DataFrame, keep: list[str], c: Column, name: str, pos: str | None = None) -> DataFrame:

@@ -19,40 +19,45 @@ def allowlisted(spans: DataFrame, type_col: str = "entity_type", types: list[str
 
 
 # D18 ------------------------------------------------------------------------
-def rank_key(start: str = "start", end: str = "end", type_col: str = "entity_type") -> Column:
-    """Smaller is better: longest first, then earliest start, then type name."""
-    return F.struct(
-        (F.col(start) - F.col(end)).alias("neg_len"), F.col(start).alias("s"), F.col(type_col).alias("t")
-    )
+def rank_key(start: str = "start", end: str = "end") -> Column:
+    """Smaller is better: longest first, then earliest start, packed in one
+    long (``-length * 2^32 + start``; offsets below 2^32). Only valid once
+    identical extents are merged (see ``resolve_overlaps``)."""
+    length = (F.col(end) - F.col(start)).cast("long")
+    return (-length) * F.lit(1 << 32) + F.col(start).cast("long")
 
 
 def resolve_overlaps(spans: DataFrame, doc: str, start: str = "start", end: str = "end",
                      type_col: str = "entity_type") -> DataFrame:
     """Drop every span that overlaps a better-ranked span of the same document.
 
-    The result is disjoint; spans that overlap nothing are kept as they are.
-    Duplicate spans (same document, offsets and type) are merged first, so
-    the rank is a total order within a document. Spans with ``end <= start``
-    cover no text and are dropped as invalid.
-
-    Exact and pair-free: two spans overlap exactly when they cover a common
-    position. Each span is exploded into the positions it covers; a hash
-    aggregate (partial aggregation map-side) finds the best rank at each
-    ``(doc, position)``; a span survives when it is that best at every
-    position it covers. Work grows with the total span length, never with the
-    square of the spans in a document, so a hot document is not a hot pair set.
+    Rank: longest first, then earliest start, then smaller type name. The
+    result is disjoint; spans that overlap nothing are kept as they are.
+    Spans with ``end <= start`` cover no text and are dropped as invalid.
+
+    Spans with the same extent always overlap each other, so of those only
+    the smallest type name can survive; merging them first (one aggregate)
+    leaves extents unique, and (length, start) -- packed in a long -- orders
+    them totally. Then, exact and pair-free: two spans overlap exactly when
+    they cover a common position. Each span is exploded into the positions it
+    covers; a hash aggregate (partial aggregation map-side) finds the best
+    key at each ``(doc, position)``; a span survives when it wins at as many
+    positions as it covers, i.e. at every one of them. Work grows with the
+    total span length, never with the square of the spans in a document, so
+    a hot document is not a hot pair set.
     """
-    s = spans.select(doc, start, end, type_col).filter(F.col(end) > F.col(start)).distinct()
-    s = s.withColumn("__rank", rank_key(start, end, type_col))
-    cover = s.select(doc, "__rank", F.explode(F.sequence(F.col(start), F.col(end) - 1)).alias("__pos"))
-    best = cover.groupBy(doc, "__pos").agg(F.min("__rank").alias("__best"))
-    beaten = (
-        cover.join(best, [doc, "__pos"])
-        .filter(F.col("__rank") != F.col("__best"))
-        .select(doc, "__rank")
-        .distinct()
+    s = (
+        spans.select(doc, start, end, type_col)
+        .filter(F.col(end) > F.col(start))
+        .groupBy(doc, start, end)
+        .agg(F.min(type_col).alias(type_col))
+        .withColumn("__key", rank_key(start, end))
     )
-    return s.join(beaten, [doc, "__rank"], "left_anti").drop("__rank")
+    cover = s.select(doc, "__key", F.explode(F.sequence(F.col(start), F.col(end) - 1)).alias("__pos"))
+    best = cover.groupBy(doc, "__pos").agg(F.min("__key").alias("__key"))
+    wins = best.groupBy(doc, "__key").agg(F.count(F.lit(1)).alias("__wins"))
+    length = (F.col(end) - F.col(start)).cast("bigint")
+    return s.join(wins, [doc, "__key"]).filter(F.col("__wins") == length).drop("__key", "__wins")
 
 
 # D9 on spans, D15, D11 (span order) ----------------------------------------------

@@ -42,7 +42,7 @@ _RAW_SQL = (
 FROM (SELECT event_id, {_RAW_SQL} AS raw FROM events)""",
 )
 def q_parse_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "props"), "event_id")
     k = F.col("event_id") % 5
     p = F.col("props")
     raw = (
@@ -58,8 +58,9 @@ def q_parse_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # A5: answers built from lineitem + orders, one per line ------------------------
 def _answers_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag"
+    li = spread(
+        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag"),
+        "l_orderkey",
     )
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus"
@@ -123,7 +124,10 @@ def q_flatten_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM orders""",
 )
 def q_summary_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = spread(
+        table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"),
+        "o_orderkey",
+    )
     k = F.col("o_orderkey")
     summary = F.struct(
         F.when(k % 3 != 0, F.col("o_orderpriority")).alias("contract_type"),

@@ -17,7 +17,10 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(*_ORDER_COLS)
 
 
-_NEWEST = [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]
+def _newest():
+    return [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]
+
+
 _PAGE_LIMIT, _PAGE_OFFSET = 100, 20
 _ISO_ORDERDATE = "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime(o_orderdate, '%f') = '000000' THEN '' ELSE '.' || strftime(o_orderdate, '%f') END"
 
@@ -37,7 +40,7 @@ def q_get_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT {_PAGE_LIMIT} OFFSET {_PAGE_OFFSET}""",
 )
 def q_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.page(_orders(spark, sf_dir), _PAGE_LIMIT, _PAGE_OFFSET, _NEWEST).select(
+    return st.page(_orders(spark, sf_dir), _PAGE_LIMIT, _PAGE_OFFSET, _newest()).select(
         "o_orderkey", "o_orderdate", "o_totalprice"
     )
 
@@ -55,7 +58,7 @@ def q_total_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT {_PAGE_LIMIT} OFFSET {_PAGE_OFFSET}""",
 )
 def q_page_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.page_with_total(_orders(spark, sf_dir), _PAGE_LIMIT, _PAGE_OFFSET, _NEWEST).select(
+    return st.page_with_total(_orders(spark, sf_dir), _PAGE_LIMIT, _PAGE_OFFSET, _newest()).select(
         "o_orderkey", "o_orderdate", "total"
     )
 
