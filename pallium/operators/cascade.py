@@ -53,6 +53,46 @@ def _marked(col: Column, entity_type: str) -> Column:
     return F.split(wrapped, SENTINEL, -1)
 
 
+def _stage_exprs(parts: str, entity_type: str) -> tuple[Column, Column]:
+    """Rebuilt text and new entries of one stage from its alternating
+    piece/match array. Written as SQL expressions: a lambda built through the
+    Column API costs hundreds of driver-to-JVM calls, a parsed expression one.
+    """
+    pre = f"'{TOKEN_PREFIX}{entity_type}_'"
+    suf = f"'{TOKEN_SUFFIX}'"
+    n = f"shiftright(size(`{parts}`) - 1, 1)"
+    rebuilt = F.expr(
+        f"array_join(transform(`{parts}`, (s, i) -> CASE WHEN i % 2 = 0 THEN s "
+        f"ELSE concat({pre}, CAST({n} - shiftright(i - 1, 1) AS STRING), {suf}) END), '')"
+    )
+    entries = F.expr(
+        f"transform(reverse(filter(`{parts}`, (s, i) -> i % 2 = 1)), (v, k) -> named_struct("
+        f"'entity_type', '{entity_type}', 'n', k + 1, "
+        f"'token', concat({pre}, CAST(k + 1 AS STRING), {suf}), 'value', v))"
+    )
+    return rebuilt, entries
+
+
+def _guards(text: Column) -> dict[str, Column]:
+    """Cheap per-row tests on the *original* text; a stage whose test fails
+    cannot match and its regex is skipped.
+
+    Exact because the tokens inserted by earlier stages never supply what a
+    later match needs: they hold no ``@``, ``-``, ``:`` or ``/``, and their
+    digits follow ``_`` (no word boundary) and precede ``]`` (no separator or
+    dot), so every numeric match consists of digits of the original text.
+    """
+    has_digit = text.rlike(r"(?U)\d")
+    return {
+        "EMAIL": F.instr(text, "@") > 0,
+        "PHONE": has_digit,
+        "SSN": (F.instr(text, "-") > 0) & has_digit,
+        "CREDIT_CARD": has_digit,
+        "IP_ADDRESS": (F.instr(text, ".") > 0) & has_digit,
+        "URL": F.instr(text, "http") > 0,
+    }
+
+
 def tokenize_cascade(
     df: DataFrame,
     text_col: str = "text",
@@ -68,39 +108,34 @@ def tokenize_cascade(
     """
     wanted = [t for t in CASCADE_TYPES if types is None or t in types]
     parts = "__pallium_parts"
-    df = df.withColumn(out_col, F.col(text_col)).withColumn(
-        entries_col, F.array().cast(f"array<{ENTRY_TYPE}>")
+    guards = _guards(F.col(text_col))
+    guard_cols = {t: f"__pallium_can_{t.lower()}" for t in guards if t in wanted}
+    keep = [F.col(c) for c in df.columns if c not in (out_col, entries_col)]
+    # Each DataFrame call is analysed on the spot, so the plan is built with
+    # exactly two projections per stage (no withColumn/drop chains).
+    df = df.select(
+        *keep,
+        F.col(text_col).alias(out_col),
+        F.array().cast(f"array<{ENTRY_TYPE}>").alias(entries_col),
+        *[guards[t].alias(c) for t, c in guard_cols.items()],
     )
+    carried = [F.col(c) for c in df.columns if c not in (out_col, entries_col)]
     for entity_type in wanted:
-        df = df.withColumn(parts, _marked(F.col(out_col), entity_type))
+        marked = _marked(F.col(out_col), entity_type)
+        if entity_type in guard_cols:
+            marked = F.when(F.col(guard_cols[entity_type]), marked)
+        df = df.select(*carried, F.col(out_col), F.col(entries_col), marked.alias(parts))
         p = F.col(parts)
-        n = F.shiftright(F.size(p) - 1, 1)
-        rebuilt = F.array_join(
-            F.transform(
-                p,
-                lambda s, i: F.when(i % 2 == 0, s).otherwise(
-                    token(entity_type, n - F.shiftright(i - 1, 1))
-                ),
-            ),
-            "",
-        )
-        matches = F.filter(p, lambda s, i: i % 2 == 1)
-        new_entries = F.transform(
-            F.reverse(matches),
-            lambda v, k: F.struct(
-                F.lit(entity_type).alias("entity_type"),
-                (k + 1).alias("n"),
-                token(entity_type, k + 1).alias("token"),
-                v.alias("value"),
+        rebuilt, new_entries = _stage_exprs(parts, entity_type)
+        no_match = p.isNull() | (F.size(p) <= 1)
+        df = df.select(
+            *carried,
+            F.when(no_match, F.col(out_col)).otherwise(rebuilt).alias(out_col),
+            F.when(no_match, F.col(entries_col)).otherwise(F.concat(F.col(entries_col), new_entries)).alias(
+                entries_col
             ),
         )
-        no_match = F.size(p) <= 1
-        df = df.withColumn(out_col, F.when(no_match, F.col(out_col)).otherwise(rebuilt))
-        df = df.withColumn(
-            entries_col,
-            F.when(no_match, F.col(entries_col)).otherwise(F.concat(F.col(entries_col), new_entries)),
-        ).drop(parts)
-    return barrier(df, [out_col, entries_col])
+    return barrier(df.select(*[c for c in df.columns if c not in guard_cols.values()]), [out_col, entries_col])
 
 
 def barrier(df: DataFrame, cols: list[str]) -> DataFrame:
