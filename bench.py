@@ -45,9 +45,9 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=int(cpus) * 2 if cpus.isdigit() else 16, app="pallium-bench")
     queries = all_queries()
     # Warm-up: JVM, parquet readers and the regex classes, on a tiny input.
-    warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
-    if os.path.isdir(warm):
-        queries["tokenize_cascade"](spark, warm).write.format("noop").mode("overwrite").save()
+    warmup_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
+    if os.path.isdir(warmup_dir):
+        queries["tokenize_cascade"](spark, warmup_dir).write.format("noop").mode("overwrite").save()
 
     def run(name: str) -> float:
         t0 = time.perf_counter()
