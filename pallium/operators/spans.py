@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pallium.functions.patterns import SPAN_ENTITY_TYPES
 from pallium.operators.cascade import ENTRY_TYPE, token, tokenize_cascade
+from pallium.session import num_partitions
 
 
 # D16 ------------------------------------------------------------------------
@@ -61,13 +62,17 @@ def resolve_overlaps(spans: DataFrame, doc: str, start: str = "start", end: str
 
 
 # D9 on spans, D15, D11 (span order) ----------------------------------------------
-def number_spans(spans: DataFrame, doc: str, start: str = "start", type_col: str = "entity_type") -> DataFrame:
+def number_spans(spans: DataFrame, doc: str, start: str = "start", type_col: str = "entity_type",
+                 num_partitions: int | None = None) -> DataFrame:
     """Right-to-left numbering per (document, type): the last span is 1.
 
     Spans are first hash-partitioned on the document, which also serves the
-    per-document grouping that follows (no second shuffle)."""
+    per-document grouping that follows and, with ``num_partitions`` equal to
+    the documents' partition count, the join with them (no further shuffle
+    of spans)."""
     w = Window.partitionBy(doc, type_col).orderBy(F.col(start).desc())
-    return spans.repartition(doc).withColumn("n", F.row_number().over(w))
+    parted = spans.repartition(num_partitions, doc) if num_partitions else spans.repartition(doc)
+    return parted.withColumn("n", F.row_number().over(w))
 
 
 def tokenize_spans(docs: DataFrame, spans: DataFrame, doc: str, text_col: str = "text",
@@ -82,7 +87,7 @@ def tokenize_spans(docs: DataFrame, spans: DataFrame, doc: str, text_col: str =
     Entries (D11) are in start-descending order over all types. Documents
     without spans keep their text and an empty entry list.
     """
-    numbered = number_spans(spans, doc, start, type_col)
+    numbered = number_spans(spans, doc, start, type_col, num_partitions(docs))
     per_doc = numbered.groupBy(doc).agg(
         F.array_sort(
             F.collect_list(

@@ -65,6 +65,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def _cores(spark: SparkSession) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # no driver-side context (e.g. a remote session)
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def num_partitions(df: DataFrame) -> int | None:
+    """Partitions the planned DataFrame will have, if it can be told without
+    running it (plans only; no job)."""
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:
+        return None
+
+
 def spread(df: DataFrame, key: str | None = None, factor: int = 3) -> DataFrame:
     """Spread rows over tasks when the scan cannot occupy the cluster.
 
@@ -75,8 +91,9 @@ def spread(df: DataFrame, key: str | None = None, factor: int = 3) -> DataFrame:
     paid. With a ``key`` the rows are hash-partitioned on it (deterministic on
     retry, no local sort); without one they are dealt round-robin.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores * factor:
+    parts = num_partitions(df)
+    cores = _cores(df.sparkSession)
+    if parts is not None and parts >= cores * factor:
         return df
     if key is not None:
         return df.repartition(cores * factor, key)
