@@ -122,6 +122,20 @@ def analyze_texts(
     )
 
 
+def store_outcomes(store, outcomes: DataFrame, key_col: str = "doc_id") -> DataFrame:
+    """P1/P2 last step (S7 + A7): append the successful rows to the result
+    table and return every outcome with its ``contract_id`` (null for
+    failures, which are never stored)."""
+    ok = outcomes.filter(F.col("success")).select(
+        key_col, "original_file", "tokenized_text", "ai_response", "detokenized_response", "token_mapping",
+        F.transform("entries", lambda e: F.struct(e["token"].alias("token"), e["value"].alias("value"))).alias(
+            "token_entries"
+        ),
+    )
+    ids = store.append(ok, order_by=[key_col], key_cols=[key_col]).select(key_col, F.col("id").alias("contract_id"))
+    return outcomes.join(ids, key_col, "left_outer")
+
+
 def analyze_files(files: DataFrame, analyzer, **kw) -> DataFrame:
     """Text files through the same flow. ``files`` is a ``binaryFile``
     frame; unsupported suffixes and paged files without extracted pages come

@@ -239,21 +239,26 @@ class ResultStore:
             return self.spark.createDataFrame([], RESULT_SCHEMA)
         return self.spark.read.schema(RESULT_SCHEMA).parquet(path)
 
-    def append(self, rows: DataFrame, order_by: list[str] | None = None) -> DataFrame:
-        """Append result rows with fresh ids and creation time; returns
-        the written rows' ``(id, original_file)``.
-
-        Ids continue after the current maximum (S9). The write is one job:
-        its files become visible together when the job commits."""
+    def append(self, rows: DataFrame, order_by: list[str] | None = None,
+               key_cols: list[str] | None = None) -> DataFrame:
+        """Append result rows with fresh ids and creation time.
+
+        Returns ``(key_cols..., id, original_file)`` for the written rows, so
+        callers can hand each input its id. Ids continue after the current
+        maximum (S9) and are fixed before the write, from a layout pinned in
+        the checkpoint folder. The write is one job: its files become visible
+        together when the job commits."""
         self.create()
         current = self.read()
         max_id = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-        staged = rows.withColumn("created_at", F.coalesce(
-            F.col("created_at") if "created_at" in rows.columns else F.lit(None).cast("timestamp_ntz"), utc_now()))
-        with_ids = assign_ids(staged, order_by or ["original_file"], start=int(max_id) + 1)
-        out = with_ids.select(*[f.name for f in RESULT_SCHEMA.fields])
-        out.write.mode("append").parquet(self.current_path())
-        return self.read().filter(F.col("id") > F.lit(max_id)).select("id", "original_file")
+        keys = key_cols or []
+        created = F.col("created_at") if "created_at" in rows.columns else F.lit(None).cast("timestamp_ntz")
+        staged = rows.withColumn("created_at", F.coalesce(created, utc_now()))
+        if "token_entries" not in staged.columns:
+            staged = staged.withColumn("token_entries", F.lit(None).cast(RESULT_SCHEMA["token_entries"].dataType))
+        with_ids = assign_ids(staged, order_by or keys or ["original_file"], start=int(max_id) + 1)
+        with_ids.select(*[f.name for f in RESULT_SCHEMA.fields]).write.mode("append").parquet(self.current_path())
+        return with_ids.select(*keys, "id", "original_file")
 
     def delete(self, requested: DataFrame, req_col: str) -> DataFrame:
         """Q7: delete rows by id; returns ``(requested id, existed)`` computed

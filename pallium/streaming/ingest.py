@@ -64,9 +64,12 @@ def analyze_file_rows(files: DataFrame, analyzer, **kw) -> DataFrame:
 
 
 def start_ingest(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint_dir: str, analyzer,
-                 available_now: bool = True, processing_time: str | None = None, **kw) -> StreamingQuery:
-    """Start the ingestion stream; returns the running query."""
-    files = landed_files(spark, landing_dir)
+                 available_now: bool = True, processing_time: str | None = None,
+                 max_files_per_trigger: int | None = None, **kw) -> StreamingQuery:
+    """Start the ingestion stream; returns the running query. The checkpoint
+    folder must be on storage that outlives executors (a shared folder on a
+    cluster)."""
+    files = landed_files(spark, landing_dir, max_files_per_trigger=max_files_per_trigger)
     if isinstance(analyzer, NativeAnalyzer):
         out = analyze_file_rows(files, analyzer, **kw)
         writer = out.writeStream.format("parquet").option("path", out_dir)
