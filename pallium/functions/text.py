@@ -85,7 +85,8 @@ def decode_bytes(c: ColumnOrName) -> Column:
 def file_suffix(c: ColumnOrName) -> Column:
     """S2 helper: lower-cased suffix of a path or file name (``''`` if none).
 
-    Like a path suffix, only the last path component counts and a leading dot
-    (hidden file) is not a suffix."""
-    name = F.regexp_extract(_col(c), r"([^/\\]*)$", 1)
+    As for a POSIX path suffix: only the last ``/``-separated component
+    counts, a leading dot (hidden file) is not a suffix, and neither is a
+    trailing dot."""
+    name = F.regexp_extract(_col(c), r"([^/]*)$", 1)
     return F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1))

@@ -20,7 +20,7 @@ from pallium.operators import answers as an
 from pallium.operators import cascade as cz
 from pallium.operators import detokenize as dt
 from pallium.operators.analyze import analyze
-from pallium.session import ensure_checkpoint_dir, spread
+from pallium.session import ensure_checkpoint_dir
 from pallium.sources import files as fs
 from pallium.sources.inline import inline_source
 
@@ -38,6 +38,9 @@ class NativeAnalyzer:
 
 TOKEN_SHAPE = r"\[PII_[A-Z_]+_[0-9]+\]"
 
+# Our own message: paged files reach the flow only as assembled pages.
+MSG_NEEDS_PAGES = "Paged file needs page extraction"
+
 
 def echo_analyzer(prompt: Column) -> Column:
     """Stand-in analyzer: echoes the tokens it sees as a small JSON answer
@@ -151,10 +154,7 @@ def analyze_files(files: DataFrame, analyzer, **kw) -> DataFrame:
         F.col("path").alias("doc_key"),
         F.col("path").alias("original_file"),
         F.lit(False).alias("success"),
-        F.coalesce(F.col("error"), F.lit("Paged file needs page extraction")).alias("error"),
+        F.coalesce(F.col("error"), F.lit(MSG_NEEDS_PAGES)).alias("error"),
     )
     return res.unionByName(failed, allowMissingColumns=True)
 
-
-def spread_for_analysis(df: DataFrame, key_col: str) -> DataFrame:
-    return spread(df, key_col)

@@ -130,7 +130,7 @@ _EXT_SQL = "CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.TXT' WHEN 2 THEN '.
 @query(
     "ext_dispatch",
     f"""WITH f AS (SELECT doc_id, source || '/doc_' || CAST(doc_id AS VARCHAR) || {_EXT_SQL} AS file_name FROM documents),
-s AS (SELECT doc_id, file_name, lower(coalesce(regexp_extract(regexp_extract(file_name, '([^/\\\\]*)$', 1), '^.+(\\.[^.]+)$', 1), '')) AS suffix FROM f)
+s AS (SELECT doc_id, file_name, lower(coalesce(regexp_extract(regexp_extract(file_name, '([^/]*)$', 1), '^.+(\\.[^.]+)$', 1), '')) AS suffix FROM f)
 SELECT doc_id, file_name, suffix,
        CASE WHEN suffix IN ('.pdf') THEN 'paged' WHEN suffix IN ('.txt', '.text') THEN 'text' END AS kind,
        CASE WHEN suffix NOT IN ('.pdf', '.txt', '.text') THEN 'Unsupported file type: ' || suffix END AS error

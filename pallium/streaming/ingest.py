@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pallium.functions.patterns import MSG_BLANK_FILE
-from pallium.plans.flows import NativeAnalyzer, analyze_texts
+from pallium.plans.flows import MSG_NEEDS_PAGES, NativeAnalyzer, analyze_texts
 from pallium.sources.files import BINARY_FILE_SCHEMA, text_documents
 
 RESULT_COLUMNS = [
@@ -58,7 +58,7 @@ def analyze_file_rows(files: DataFrame, analyzer, **kw) -> DataFrame:
         F.col("path").alias("doc_key"),
         F.col("path").alias("original_file"),
         F.lit(False).alias("success"),
-        F.coalesce(F.col("error"), F.lit("Paged file needs page extraction")).alias("error"),
+        F.coalesce(F.col("error"), F.lit(MSG_NEEDS_PAGES)).alias("error"),
     )
     return res.unionByName(bad, allowMissingColumns=True).select(*RESULT_COLUMNS)
 
