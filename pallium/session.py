@@ -81,20 +81,33 @@ def num_partitions(df: DataFrame) -> int | None:
         return None
 
 
+def input_file_count(df: DataFrame) -> int | None:
+    """Distinct files behind the DataFrame's scans (planning metadata only)."""
+    try:
+        return len(set(df.inputFiles()))
+    except Exception:
+        return None
+
+
 def spread(df: DataFrame, key: str | None = None, factor: int = 3) -> DataFrame:
-    """Spread rows over tasks when the scan cannot occupy the cluster.
-
-    Text work (regex) costs far more per byte than a shuffle, and a source
-    with few row groups gives one busy task. When the input already has at
-    least as many partitions as the cluster has cores, it is left alone: at
-    scale, the scan's own splits carry the parallelism and no extra shuffle is
-    paid. With a ``key`` the rows are hash-partitioned on it (deterministic on
-    retry, no local sort); without one they are dealt round-robin.
+    """Spread rows over tasks when the source cannot occupy the cluster.
+
+    Text work (regex) costs far more per byte than a shuffle, and a parquet
+    row group is the smallest unit a scan can split: a source made of few
+    files gives few busy tasks, however many (empty) splits the planner
+    makes. So the test is on distinct input files: with at least ``factor``
+    per core, the scan's own splits carry the parallelism and no shuffle is
+    paid (the case at scale); otherwise the rows are hash-partitioned on
+    ``key`` (deterministic on retry, no local sort), or dealt round-robin
+    without one. Inputs that are not file scans fall back to the partition
+    count.
     """
-    parts = num_partitions(df)
     cores = _cores(df.sparkSession)
-    if parts is not None and parts >= cores * factor:
+    target = cores * factor
+    files = input_file_count(df)
+    enough = files >= target if files else (num_partitions(df) or 0) >= target
+    if enough:
         return df
     if key is not None:
-        return df.repartition(cores * factor, key)
-    return df.repartition(cores * factor)
+        return df.repartition(target, key)
+    return df.repartition(target)
