@@ -1,19 +1,19 @@
 """Pattern cascade: detection and tokenization of personal data.
 
-Every stage is two projections of built-in expressions:
-
-1. one regex pass wraps each match in a sentinel character, and a literal
-   (non-regex) split on that sentinel yields ``[piece, match, piece, ...,
-   piece]`` -- pieces at even positions, matches at odd positions;
-2. the text is rebuilt with ``transform`` + ``array_join``, numbering the
-   matches right to left (the last match of a type is number 1), and the
-   mapping entries for the stage are the matches reversed and numbered from 1.
+Each stage makes one regex pass: every match is wrapped in a sentinel
+character, and a literal (non-regex) split on that character yields
+``[piece, match, piece, ..., piece]``. The text is rebuilt with ``transform``
+and ``array_join``, numbering the matches right to left (the last match of a
+type is number 1). The stage's mapping entries are its matches reversed and
+numbered from 1.
 
 Stages run on the output of the previous stage, in cascade order, so the
-entry array ends up in the order tokens were issued: type by type, and
-within a type by number. There is no shuffle and no Python on this path.
+entry array ends up in token-issue order: type by type, and within a type by
+number. The seven stages form one nested expression, each stage's input
+bound once. It is evaluated inside a generator, which is also an optimizer
+barrier. There is no shuffle and no Python on this path.
 
-The sentinel is U+0001, a control character the cleaning step turns into a
+The sentinel is U+0001, a control character that cleaning turns into a
 space, so it cannot occur in cleaned text. Run the cascade on cleaned text.
 """
 
@@ -47,32 +47,14 @@ def detect(c: Column | str, entity_type: str) -> Column:
     return F.regexp_extract_all(col, F.lit(java_pattern(entity_type)), F.lit(0))
 
 
-def _marked(col: Column, entity_type: str) -> Column:
-    """Split of the text into alternating pieces and matches (one regex pass)."""
+def split_matches(col: Column, entity_type: str) -> Column:
+    """The text split into alternating pieces and matches, ``[piece, match,
+    piece, ..., piece]``: one regex pass wraps each match in U+0001, then a
+    literal split on that character."""
     wrapped = F.regexp_replace(col, java_pattern(entity_type), SENTINEL + "$0" + SENTINEL)
     return F.split(wrapped, SENTINEL, -1)
 
 
-def _stage_exprs(parts: str, entity_type: str) -> tuple[Column, Column]:
-    """Rebuilt text and new entries of one stage from its alternating
-    piece/match array. Written as SQL expressions: a lambda built through the
-    Column API costs hundreds of driver-to-JVM calls, a parsed expression one.
-    """
-    pre = f"'{TOKEN_PREFIX}{entity_type}_'"
-    suf = f"'{TOKEN_SUFFIX}'"
-    n = f"shiftright(size(`{parts}`) - 1, 1)"
-    rebuilt = F.expr(
-        f"array_join(transform(`{parts}`, (s, i) -> CASE WHEN i % 2 = 0 THEN s "
-        f"ELSE concat({pre}, CAST({n} - shiftright(i - 1, 1) AS STRING), {suf}) END), '')"
-    )
-    entries = F.expr(
-        f"transform(reverse(filter(`{parts}`, (s, i) -> i % 2 = 1)), (v, k) -> named_struct("
-        f"'entity_type', '{entity_type}', 'n', k + 1, "
-        f"'token', concat({pre}, CAST(k + 1 AS STRING), {suf}), 'value', v))"
-    )
-    return rebuilt, entries
-
-
 def _guards(text: Column) -> dict[str, Column]:
     """Cheap per-row tests on the *original* text; a stage whose test fails
     cannot match and its regex is skipped.
@@ -84,15 +66,56 @@ def _guards(text: Column) -> dict[str, Column]:
     """
     has_digit = text.rlike(r"(?U)\d")
     return {
-        "EMAIL": F.instr(text, "@") > 0,
+        "EMAIL": text.contains("@"),
         "PHONE": has_digit,
-        "SSN": (F.instr(text, "-") > 0) & has_digit,
+        "SSN": text.contains("-") & has_digit,
         "CREDIT_CARD": has_digit,
-        "IP_ADDRESS": (F.instr(text, ".") > 0) & has_digit,
-        "URL": F.instr(text, "http") > 0,
+        "IP_ADDRESS": text.contains(".") & has_digit,
+        "URL": text.contains("http"),
     }
 
 
+def _sql_str(value: str) -> str:
+    """A Spark SQL string literal (backslash escapes are on by default)."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _stage_sql(acc: str, entity_type: str, guard_col: str | None) -> str:
+    """One cascade stage as an SQL expression over ``acc``, a
+    ``struct<t: text so far, e: entries so far>``.
+
+    The stage's inputs are bound once through a one-element ``transform``
+    (a let): one regex pass wraps each match in U+0001, a literal split on it
+    yields ``[piece, match, piece, ..., piece]``, and the lambda rebuilds the
+    text (matches numbered right to left) and appends the stage's entries
+    (matches reversed, numbered from 1). Rows whose guard is false, or with
+    no match, keep ``acc`` as it is.
+    """
+    marked = (
+        f"split(regexp_replace(x0.t, {_sql_str(java_pattern(entity_type))}, "
+        f"concat(char(1), '$0', char(1))), char(1), -1)"
+    )
+    if guard_col is not None:
+        marked = f"CASE WHEN `{guard_col}` THEN {marked} END"
+    pre = _sql_str(f"{TOKEN_PREFIX}{entity_type}_")
+    suf = _sql_str(TOKEN_SUFFIX)
+    rebuilt = (
+        f"array_join(transform(x.p, (s, i) -> CASE WHEN i % 2 = 0 THEN s "
+        f"ELSE concat({pre}, CAST(shiftright(size(x.p) - 1, 1) - shiftright(i - 1, 1) AS STRING), {suf}) END), '')"
+    )
+    new_entries = (
+        f"transform(reverse(filter(x.p, (s, i) -> i % 2 = 1)), (v, k) -> named_struct("
+        f"'entity_type', '{entity_type}', 'n', k + 1, 'token', concat({pre}, CAST(k + 1 AS STRING), {suf}), "
+        f"'value', v))"
+    )
+    step = (
+        f"transform(array(named_struct('a', x0, 'p', {marked})), x -> "
+        f"CASE WHEN x.p IS NULL OR size(x.p) <= 1 THEN x.a "
+        f"ELSE named_struct('t', {rebuilt}, 'e', concat(x.a.e, {new_entries})) END)[0]"
+    )
+    return f"transform(array({acc}), x0 -> {step})[0]"
+
+
 def tokenize_cascade(
     df: DataFrame,
     text_col: str = "text",
@@ -105,54 +128,27 @@ def tokenize_cascade(
     Adds ``out_col`` (tokenized text) and ``entries_col``, an
     ``array<struct<entity_type, n, token, value>>`` in token-issue order.
     ``types`` restricts the cascade to a subset (kept in cascade order).
+
+    The whole cascade is one expression, evaluated once per row inside the
+    generator that also serves as the optimizer barrier; no intermediate rows
+    are materialized between stages.
     """
     wanted = [t for t in CASCADE_TYPES if types is None or t in types]
-    parts = "__pallium_parts"
     guards = _guards(F.col(text_col))
     guard_cols = {t: f"__pallium_can_{t.lower()}" for t in guards if t in wanted}
-    keep = [F.col(c) for c in df.columns if c not in (out_col, entries_col)]
-    # Each DataFrame call is analysed on the spot, so the plan is built with
-    # exactly two projections per stage (no withColumn/drop chains).
-    df = df.select(
-        *keep,
-        F.col(text_col).alias(out_col),
-        F.array().cast(f"array<{ENTRY_TYPE}>").alias(entries_col),
-        *[guards[t].alias(c) for t, c in guard_cols.items()],
-    )
-    carried = [F.col(c) for c in df.columns if c not in (out_col, entries_col)]
+    keep = [c for c in df.columns if c not in (out_col, entries_col)]
+    acc = f"named_struct('t', `{text_col}`, 'e', CAST(array() AS array<{ENTRY_TYPE}>))"
     for entity_type in wanted:
-        marked = _marked(F.col(out_col), entity_type)
-        if entity_type in guard_cols:
-            marked = F.when(F.col(guard_cols[entity_type]), marked)
-        df = df.select(*carried, F.col(out_col), F.col(entries_col), marked.alias(parts))
-        p = F.col(parts)
-        rebuilt, new_entries = _stage_exprs(parts, entity_type)
-        no_match = p.isNull() | (F.size(p) <= 1)
-        df = df.select(
-            *carried,
-            F.when(no_match, F.col(out_col)).otherwise(rebuilt).alias(out_col),
-            F.when(no_match, F.col(entries_col)).otherwise(F.concat(F.col(entries_col), new_entries)).alias(
-                entries_col
-            ),
-        )
-    return barrier(df.select(*[c for c in df.columns if c not in guard_cols.values()]), [out_col, entries_col])
-
-
-def barrier(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Re-emit ``cols`` through a generator so the optimizer cannot push
-    predicates on them below this point.
-
-    A filter on the cascade's output would otherwise be pushed through the
-    stage projections with every alias substituted; as each stage refers to
-    its split array several times, the substituted predicate grows
-    exponentially with the number of stages, and it would run before the
-    rows are spread over tasks. Predicates on a generator's output stay above
-    the generator; the outer form keeps the optimizer from inferring a
-    ``size > 0`` predicate over the same expressions. One row in, one row out.
-    """
-    keep = [c for c in df.columns if c not in cols]
-    packed = F.array(F.struct(*[F.col(c) for c in cols]))
-    return df.select(*keep, F.inline_outer(packed))
+        acc = _stage_sql(acc, entity_type, guard_cols.get(entity_type))
+    staged = df.select(*keep, *[guards[t].alias(c) for t, c in guard_cols.items()])
+    # The generator emits the result as plain columns, and a predicate on a
+    # generator's output stays above it. Without that, a user filter on the
+    # tokenized text would be pushed down with the whole cascade substituted
+    # into it, and run a second time before the rows are spread. The outer
+    # form keeps the optimizer from inferring a ``size > 0`` predicate over
+    # the same expression. One row in, one row out.
+    out = staged.select(*keep, F.inline_outer(F.array(F.expr(acc))))
+    return out.select(*keep, F.col("t").alias(out_col), F.col("e").alias(entries_col))
 
 
 def explode_rows(df: DataFrame, keep: list[str], c: Column, name: str, pos: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pallium.functions.patterns import CASCADE_TO_SPAN_TYPE, SPAN_ENTITY_TYPES, java_pattern
+from pallium.functions.patterns import CASCADE_TO_SPAN_TYPE, SPAN_ENTITY_TYPES
 from pallium.operators import cascade as cz
 from pallium.operators import spans as sp
 from pallium.plans import duck
@@ -19,7 +19,7 @@ SPAN_SOURCES = [("EMAIL", "EMAIL_ADDRESS"), ("IP_ADDRESS", "IP_ADDRESS")]
 
 def regex_spans(df: DataFrame, doc: str, text: str, entity_type: str, label: str) -> DataFrame:
     """Spans of one pattern: match offsets from cumulative piece lengths."""
-    marked = F.split(F.regexp_replace(F.col(text), java_pattern(entity_type), "\u0001$0\u0001"), "\u0001", -1)
+    marked = cz.split_matches(F.col(text), entity_type)
     rows = cz.explode_rows(df, [doc], marked, "piece", pos="idx")
     w = Window.partitionBy(doc).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     st = F.coalesce(F.sum(F.char_length("piece")).over(w), F.lit(0)).cast("int")
