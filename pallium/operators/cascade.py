@@ -218,13 +218,16 @@ def token_vault(df: DataFrame, key_cols: list[str], entries_col: str = "entries"
 def pii_census(vault: DataFrame, doc_key: str, group_col: str) -> DataFrame:
     """Documents and entities per (group, entity type) with subtotals.
 
-    ``vault`` holds one row per token (D19) carrying ``group_col``. A
-    ``rollup`` gives the per-group and grand totals; the entity count is
-    pre-aggregated map-side, and the distinct-document count shuffles on
-    (group, type, doc) keys, so a hot document or group is spread over tasks.
+    ``vault`` holds one row per token (D19) carrying ``group_col``. Tokens
+    are first counted per (document, group, type) -- partial aggregation
+    map-side, one row per document and type -- so the ``rollup``'s row
+    expansion and its distinct-document count work on that much smaller
+    table. The distinct count shuffles on (group, type, document) keys, so a
+    hot group is still spread over tasks.
     """
-    return vault.rollup(group_col, "entity_type").agg(
-        F.count(F.lit(1)).alias("n_entities"),
+    per_doc = vault.groupBy(doc_key, group_col, "entity_type").agg(F.count(F.lit(1)).alias("__n"))
+    return per_doc.rollup(group_col, "entity_type").agg(
+        F.sum("__n").cast("bigint").alias("n_entities"),
         F.countDistinct(doc_key).alias("n_docs"),
     )
 
