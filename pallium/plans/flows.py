@@ -74,6 +74,7 @@ def analyze_texts(
     precleaned: bool = False,
     attempts: int = 3,
     wait: tuple[float, float] = (4.0, 10.0),
+    concurrency: int = 1,
 ) -> DataFrame:
     """P1 over a table of texts.
 
@@ -102,7 +103,8 @@ def analyze_texts(
     else:
         ensure_checkpoint_dir(df.sparkSession)
         tok = tok.checkpoint(eager=True)
-        calls = analyze(tok.filter(F.col("__blank").isNull()), analyzer, key_col, "prompt", attempts, wait)
+        calls = analyze(tok.filter(F.col("__blank").isNull()), analyzer, key_col, "prompt", attempts, wait,
+                        concurrency)
         calls = calls.checkpoint(eager=True)
         answered = tok.join(calls.select(key_col, "raw", "call_error"), key_col, "left_outer")
 
