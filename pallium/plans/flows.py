@@ -75,6 +75,7 @@ def analyze_texts(
     attempts: int = 3,
     wait: tuple[float, float] = (4.0, 10.0),
     concurrency: int = 1,
+    dedupe_prompts: bool = True,
 ) -> DataFrame:
     """P1 over a table of texts.
 
@@ -86,7 +87,11 @@ def analyze_texts(
     A Python ``analyzer`` is called through ``analyze`` (A2); the tokenized
     rows are pinned in the reliable checkpoint folder first and the answers
     after, so a lost executor neither re-runs the cascade nor calls the
-    analyzer again for answers already obtained.
+    analyzer again for answers already obtained. With ``dedupe_prompts``
+    (default) it is called once per distinct prompt: prompts are keyed by
+    their SHA-256, de-duplicated (partial aggregation map-side, so a prompt
+    repeated across a third of the corpus is one call, not a hot task), and
+    the answers joined back on the hash.
     """
     d = inline_source(df, text_col, label_col, default_label)
     cleaned = F.col(text_col) if precleaned else clean_text(text_col)
@@ -102,11 +107,16 @@ def analyze_texts(
         )
     else:
         ensure_checkpoint_dir(df.sparkSession)
+        call_key = "__prompt_sha" if dedupe_prompts else key_col
+        if dedupe_prompts:
+            tok = tok.withColumn(call_key, F.sha2(F.col("prompt"), 256))
         tok = tok.checkpoint(eager=True)
-        calls = analyze(tok.filter(F.col("__blank").isNull()), analyzer, key_col, "prompt", attempts, wait,
-                        concurrency)
+        todo = tok.filter(F.col("__blank").isNull()).select(call_key, "prompt")
+        if dedupe_prompts:
+            todo = todo.dropDuplicates([call_key])
+        calls = analyze(todo, analyzer, call_key, "prompt", attempts, wait, concurrency)
         calls = calls.checkpoint(eager=True)
-        answered = tok.join(calls.select(key_col, "raw", "call_error"), key_col, "left_outer")
+        answered = tok.join(calls.select(call_key, "raw", "call_error"), call_key, "left_outer")
 
     parsed = an.parse_answer(answered, "raw")
     error = F.coalesce(F.col("__blank"), F.col("call_error"))
