@@ -227,6 +227,16 @@ class ResultStore:
         v = self._versions()
         return os.path.join(self.root, f"v{v[-1]}") if v else None
 
+    def high_water(self) -> int:
+        """Largest id ever written, deleted rows included (earlier versions
+        keep them), so a deleted id is never handed out again. Reads only the
+        id column."""
+        paths = [os.path.join(self.root, f"v{v}") for v in self._versions()]
+        if not paths:
+            return 0
+        ids = self.spark.read.schema(RESULT_SCHEMA).parquet(*paths).select("id")
+        return int(ids.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"])
+
     def create(self) -> None:
         """Create the table if absent (idempotent)."""
         if self.current_path() is None:
@@ -249,8 +259,7 @@ class ResultStore:
         the checkpoint folder. The write is one job: its files become visible
         together when the job commits."""
         self.create()
-        current = self.read()
-        max_id = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+        max_id = self.high_water()
         keys = key_cols or []
         created = F.col("created_at") if "created_at" in rows.columns else F.lit(None).cast("timestamp_ntz")
         staged = rows.withColumn("created_at", F.coalesce(created, utc_now()))
