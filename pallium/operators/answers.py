@@ -125,6 +125,26 @@ def flatten_section(df: DataFrame, keys: list[str], section: Column, pos: str =
     )
 
 
+def answer_tables(parsed: DataFrame, keys: list[str], answer_col: str = "answer") -> dict[str, DataFrame]:
+    """A5 for every section: one child table per section, keyed by ``keys``.
+
+    The four list sections give one row per element (``pos`` keeps the
+    order; documents without the section keep one all-null row). The two
+    object sections give one row per document with their fields as columns
+    (lists stay arrays). Each table is a projection of ``parsed``: no
+    shuffle.
+    """
+    a = F.col(answer_col)
+    out: dict[str, DataFrame] = {}
+    for field in ANSWER_SCHEMA.fields:
+        section = a[field.name]
+        if isinstance(field.dataType, T.ArrayType):
+            out[field.name] = flatten_section(parsed, keys, section)
+        else:
+            out[field.name] = parsed.select(*keys, *[section[f.name].alias(f.name) for f in field.dataType.fields])
+    return out
+
+
 # A6 -------------------------------------------------------------------------
 def summary_view(summary: ColumnOrName) -> list[Column]:
     """Type and purpose default to ``Unknown``; parties joined by ``, ``.
