@@ -56,5 +56,8 @@ def detokenize_json(answer: ColumnOrName, entries: ColumnOrName, escape: bool =
 
 
 def token_collisions(text: ColumnOrName) -> Column:
-    """L3: the source already holds something shaped like a token."""
-    return _col(text).rlike(r"\[PII_[A-Z_]+_[0-9]+\]")
+    """L3: the source already holds something shaped like a token (it would
+    be replaced on detokenizing). The regex runs only on texts holding the
+    token prefix."""
+    t = _col(text)
+    return t.contains("[PII_") & t.rlike(r"\[PII_[A-Z_]+_[0-9]+\]")

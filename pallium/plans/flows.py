@@ -81,7 +81,8 @@ def analyze_texts(
 
     Returns one row per input: ``key, original_file, success, error,
     pii_entities_found, tokenized_text, entries, token_mapping, ai_response,
-    detokenized_response, parse_ok``. Failed rows (blank text, analyzer
+    detokenized_response, parse_ok, token_collision`` (the source already
+    held a token-shaped string, L3). Failed rows (blank text, analyzer
     exhausted) carry ``error`` and no result fields; they are never stored.
 
     A Python ``analyzer`` is called through ``analyze`` (A2); the tokenized
@@ -97,7 +98,7 @@ def analyze_texts(
     cleaned = F.col(text_col) if precleaned else clean_text(text_col)
     d = d.select(key_col, F.col(label_col).alias("original_file"), cleaned.alias("__clean"))
     blank_err = F.when(F.col("__clean") == F.lit(""), F.lit(blank_message))
-    d = d.withColumn("__blank", blank_err)
+    d = d.withColumn("__blank", blank_err).withColumn("token_collision", dt.token_collisions("__clean"))
     tok = cz.tokenize_cascade(d, "__clean", "tokenized_text", "entries")
     tok = tok.withColumn("prompt", an.build_prompt("tokenized_text"))
 
@@ -134,6 +135,7 @@ def analyze_texts(
         F.when(ok, F.col("answer_json")).alias("ai_response"),
         F.when(ok, dt.detokenize_json("answer_json", "entries")).alias("detokenized_response"),
         F.when(ok, F.col("parse_ok")).alias("parse_ok"),
+        "token_collision",
     )
 
 

@@ -31,7 +31,7 @@ from pallium.sources.files import BINARY_FILE_SCHEMA, text_documents
 
 RESULT_COLUMNS = [
     "doc_key", "original_file", "success", "error", "pii_entities_found", "tokenized_text",
-    "token_mapping", "ai_response", "detokenized_response", "parse_ok",
+    "token_mapping", "ai_response", "detokenized_response", "parse_ok", "token_collision",
 ]
 
 
