@@ -46,7 +46,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder under the temp directory; a cluster session without it is an error,
     since a machine-local folder does not survive the loss of an executor.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:
+        # No driver-side context (a remote session): the server's
+        # spark.checkpoint.dir applies.
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir()
     if current:
         return current
