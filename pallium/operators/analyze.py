@@ -34,22 +34,43 @@ def backoff(attempt: int, low: float = ANALYZE_WAIT_MIN, high: float = ANALYZE_W
     return float(min(max(2.0 ** (attempt - 1), low), high))
 
 
+def retrying_caller(fn: Callable[[str], str | None], attempts: int = ANALYZE_ATTEMPTS,
+                    wait: tuple[float, float] = (ANALYZE_WAIT_MIN, ANALYZE_WAIT_MAX),
+                    sleep: Callable[[float], None] = time.sleep) -> Callable[[str], tuple]:
+    """The per-prompt caller: ``prompt -> (answer, attempts used, error)``.
+
+    Everything it uses is local to this function, so Spark ships it to the
+    Python workers by value: the workers need the user's ``fn``, not this
+    package.
+    """
+    low, high = wait
+    failed = MSG_CALL_FAILED
+
+    def pause(attempt: int) -> float:
+        return float(min(max(2.0 ** (attempt - 1), low), high))
+
+    def call(prompt: str) -> tuple[str | None, int, str | None]:
+        last = None
+        for attempt in range(1, attempts + 1):
+            try:
+                answer = fn(prompt)
+                if answer is None:
+                    raise ValueError("analyzer returned no content")
+                return str(answer), attempt, None
+            except Exception as exc:  # any failure is retried, as in the reference
+                last = exc
+                if attempt < attempts:
+                    sleep(pause(attempt))
+        return None, attempts, failed + str(last)
+
+    return call
+
+
 def call_with_retries(fn: Callable[[str], str | None], prompt: str, attempts: int = ANALYZE_ATTEMPTS,
                       wait: tuple[float, float] = (ANALYZE_WAIT_MIN, ANALYZE_WAIT_MAX),
                       sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, int, str | None]:
     """One prompt: ``(answer, attempts used, error)``."""
-    last: BaseException | None = None
-    for attempt in range(1, attempts + 1):
-        try:
-            answer = fn(prompt)
-            if answer is None:
-                raise ValueError("analyzer returned no content")
-            return str(answer), attempt, None
-        except Exception as exc:  # any failure is retried, as in the reference
-            last = exc
-            if attempt < attempts:
-                sleep(backoff(attempt, *wait))
-    return None, attempts, MSG_CALL_FAILED + str(last)
+    return retrying_caller(fn, attempts, wait, sleep)(prompt)
 
 
 def analyze(df: DataFrame, fn: Callable[[str], str | None], key_col: str = "doc_id", prompt_col: str = "prompt",
@@ -72,6 +93,7 @@ def analyze(df: DataFrame, fn: Callable[[str], str | None], key_col: str = "doc_
         ]
     )
     sleep = time.sleep if wait[1] > 0 else (lambda _s: None)
+    one = retrying_caller(fn, attempts, wait, sleep)
 
     def run(batches):
         from concurrent.futures import ThreadPoolExecutor
@@ -80,9 +102,6 @@ def analyze(df: DataFrame, fn: Callable[[str], str | None], key_col: str = "doc_
 
         pool = ThreadPoolExecutor(max_workers=concurrency) if concurrency > 1 else None
 
-        def one(p):
-            return call_with_retries(fn, p, attempts, wait, sleep)
-
         for pdf in batches:
             prompts = list(pdf[prompt_col])
             results = list(pool.map(one, prompts)) if pool else [one(p) for p in prompts]
