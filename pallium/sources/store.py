@@ -243,6 +243,14 @@ class ResultStore:
             empty = self.spark.createDataFrame([], RESULT_SCHEMA)
             empty.write.mode("overwrite").parquet(os.path.join(self.root, "v0"))
 
+    def register_view(self, name: str = "parsed_results") -> DataFrame:
+        """The current version as a temporary view, for SQL such as
+        ``SELECT id, original_file FROM parsed_results ORDER BY created_at DESC
+        LIMIT 10``. Re-register after a delete (a new version)."""
+        df = self.read()
+        df.createOrReplaceTempView(name)
+        return df
+
     def read(self) -> DataFrame:
         path = self.current_path()
         if path is None:
