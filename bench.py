@@ -56,13 +56,20 @@ def main() -> None:
 
     cold: dict[str, float] = {}
     warm: dict[str, float] = {}
+    errors: dict[str, str] = {}
     for name in names:
-        cold[name] = run(name)
-        warm[name] = run(name)
+        try:
+            cold[name] = run(name)
+            warm[name] = run(name)
+        except Exception as exc:  # keep going; the JSON line must still be printed
+            errors[name] = str(exc)[:300]
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_warm_total_sec", "value": round(sum(warm.values()), 3), "unit": "sec",
-                      "queries": warm, "cold_total_sec": round(sum(cold.values()), 3), "cold": cold,
-                      "sf": float(sf) if sf.replace(".", "").isdigit() else sf, "cpus": cpus}))
+    out = {"metric": "headline_warm_total_sec", "value": round(sum(warm.values()), 3), "unit": "sec",
+           "queries": warm, "cold_total_sec": round(sum(cold.values()), 3), "cold": cold,
+           "sf": float(sf) if sf.replace(".", "").isdigit() else sf, "cpus": cpus}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
     spark.stop()
 
 
