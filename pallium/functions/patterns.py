@@ -7,6 +7,8 @@ and the token layout. They are written out plainly, in their natural order.
 
 from __future__ import annotations
 
+import re
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES (must equal the reproduced behaviour; do not reorder)
 # ---------------------------------------------------------------------------
@@ -94,9 +96,43 @@ UNICODE_FLAG = "(?U)"
 CASCADE_TYPES: list[str] = [t for t, _ in CASCADE_PATTERNS]
 
 
+# Python's word characters: what str.isalnum() accepts (letters and every
+# kind of number) plus the underscore. Java's (?U)\w differs: it adds
+# combining marks and leaves out non-decimal numbers such as superscripts.
+PY_WORD = r"[\p{L}\p{N}_]"
+# Python's \b, spelled with that class for Java.
+PY_BOUNDARY = f"(?:(?<={PY_WORD})(?!{PY_WORD})|(?<!{PY_WORD})(?={PY_WORD}))"
+# Where one side of a \b is known to be a word character, one lookaround
+# decides it; that is exact and several times cheaper than the full form.
+NOT_AFTER_WORD = f"(?<!{PY_WORD})"
+NOT_BEFORE_WORD = f"(?!{PY_WORD})"
+# A \b before these (a mandatory first character that is a word character)
+# or after these (a last character that is one).
+_WORD_START = re.compile(r"^(?:\[A-Z\]|\\d|\(\?:\\d|\(\?:\[0-9\])")
+_WORD_END = re.compile(r"(?:\[a-z\]\+|\\d\{\d+(?:,\d+)?\}|\[0-9\]\{\d+(?:,\d+)?\})$")
+
+
+def to_java(pattern: str) -> str:
+    r"""A pattern in Python's regex dialect, for Java: the Unicode flag makes
+    \d, \s and classes Unicode-aware as in Python, and each \b becomes
+    Python's word boundary -- the one construct whose meaning differs (Java's
+    (?U)\b counts combining marks as word characters and superscript digits
+    as not). A leading or trailing \b next to a token of word characters
+    needs only one lookaround; any other \b gets the full form."""
+    lead = trail = ""
+    body = pattern
+    if body.startswith(r"\b"):
+        body = body[2:]
+        lead = NOT_AFTER_WORD if _WORD_START.match(body) else PY_BOUNDARY
+    if body.endswith(r"\b"):
+        body = body[:-2]
+        trail = NOT_BEFORE_WORD if _WORD_END.search(body) else PY_BOUNDARY
+    return UNICODE_FLAG + lead + body.replace(r"\b", PY_BOUNDARY) + trail
+
+
 def java_pattern(entity_type: str) -> str:
     """Pattern of a cascade entity type, ready for Spark's Java regex."""
-    return UNICODE_FLAG + dict(CASCADE_PATTERNS)[entity_type]
+    return to_java(dict(CASCADE_PATTERNS)[entity_type])
 
 
 # Same entity on the two paths has different names; this maps the cascade
