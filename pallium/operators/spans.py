@@ -101,8 +101,14 @@ def number_spans(spans: DataFrame, doc: str, start: str = "start", type_col: str
 
 def tokenize_spans(docs: DataFrame, spans: DataFrame, doc: str, text_col: str = "text",
                    out_col: str = "tokenized_text", entries_col: str = "entries",
-                   start: str = "start", end: str = "end", type_col: str = "entity_type") -> DataFrame:
-    """Replace each (disjoint) span by its token.
+                   start: str = "start", end: str = "end", type_col: str = "entity_type",
+                   resolve: bool = False) -> DataFrame:
+    """Replace each span by its token.
+
+    Spans must be disjoint, as D18 leaves them. With ``resolve=True``
+    overlapping spans are resolved first (``resolve_overlaps``); for disjoint
+    spans the result is the same either way. The detector-output path
+    (``tokenize_with_fallback``) resolves by default.
 
     Spans are numbered (D9), gathered per document in start order (one
     shuffle of the small span rows), and joined to the documents. The text is
@@ -111,6 +117,8 @@ def tokenize_spans(docs: DataFrame, spans: DataFrame, doc: str, text_col: str =
     Entries (D11) are in start-descending order over all types. Documents
     without spans keep their text and an empty entry list.
     """
+    if resolve:
+        spans = resolve_overlaps(spans, doc, start, end, type_col)
     numbered = number_spans(spans, doc, start, type_col, num_partitions(docs))
     per_doc = numbered.groupBy(doc).agg(
         F.array_sort(
@@ -158,11 +166,13 @@ def spans_as_array(spans: DataFrame, doc: str, start: str = "start", end: str =
 
 # D17 ------------------------------------------------------------------------
 def tokenize_with_fallback(docs: DataFrame, doc: str, text_col: str = "text", spans_col: str = "spans",
-                           out_col: str = "tokenized_text", entries_col: str = "entries") -> DataFrame:
+                           out_col: str = "tokenized_text", entries_col: str = "entries",
+                           resolve: bool = True) -> DataFrame:
     """Per document: the span path when the detector produced spans (an
     empty array means it ran and found nothing), the pattern cascade when
     ``spans_col`` is null (the detector was unavailable or failed). Each
-    document starts with fresh numbering either way.
+    document starts with fresh numbering either way. Detector spans may
+    overlap; they are resolved first (D18) unless ``resolve=False``.
 
     The span rows are exploded out of the array column, so the span path
     gets the same join-based plan as ``tokenize_spans``.
@@ -172,7 +182,8 @@ def tokenize_with_fallback(docs: DataFrame, doc: str, text_col: str = "text", sp
     flat = has.select(doc, F.explode_outer(spans_col).alias("sp")).filter(F.col("sp").isNotNull()).select(
         doc, "sp.start", "sp.end", "sp.entity_type"
     )
-    via_spans = tokenize_spans(has.drop(spans_col), flat, doc, text_col, out_col, entries_col).withColumn(
+    via_spans = tokenize_spans(has.drop(spans_col), flat, doc, text_col, out_col, entries_col,
+                               resolve=resolve).withColumn(
         "path", F.lit("spans")
     )
     via_cascade = tokenize_cascade(lacks.drop(spans_col), text_col, out_col, entries_col).withColumn(
