@@ -60,7 +60,9 @@ def resolve_overlaps(spans: DataFrame, doc: str, start: str = "start", end: str
         spans.select(doc, start, end, type_col)
         .filter(F.col(end) > F.col(start))
         .groupBy(doc, start, end)
-        .agg(F.min(type_col).alias(type_col))
+        # smallest type name; collect_set keeps this a hash aggregate (a
+        # string min() would fall back to a sort-based one)
+        .agg(F.array_min(F.collect_set(type_col)).alias(type_col))
         .withColumn("__key", rank_key(start, end))
     )
     w = F.lit(bucket_width)
