@@ -109,6 +109,7 @@ NOT_BEFORE_WORD = f"(?!{PY_WORD})"
 # A \b before these (a mandatory first character that is a word character)
 # or after these (a last character that is one).
 _WORD_START = re.compile(r"^(?:\[A-Z\]|\\d|\(\?:\\d|\(\?:\[0-9\])")
+_SINGLE_CLASS = re.compile(r"^(\[[^\]]+\])(?![*+?{])")
 _WORD_END = re.compile(r"(?:\[a-z\]\+|\\d\{\d+(?:,\d+)?\}|\[0-9\]\{\d+(?:,\d+)?\})$")
 
 
@@ -127,7 +128,15 @@ def to_java(pattern: str) -> str:
     if body.endswith(r"\b"):
         body = body[:-2]
         trail = NOT_BEFORE_WORD if _WORD_END.search(body) else PY_BOUNDARY
-    return UNICODE_FLAG + lead + body.replace(r"\b", PY_BOUNDARY) + trail
+    body = body.replace(r"\b", PY_BOUNDARY)
+    first = _SINGLE_CLASS.match(body)
+    if lead == NOT_AFTER_WORD and first:
+        # Test the character class first and look behind it: the engine tries
+        # the first node at every position, and a plain class fails there
+        # far faster than a lookbehind over Unicode properties.
+        cls = first.group(1)
+        return UNICODE_FLAG + cls + f"(?<!{PY_WORD}{cls})" + body[len(cls):] + trail
+    return UNICODE_FLAG + lead + body + trail
 
 
 def java_pattern(entity_type: str) -> str:
