@@ -42,7 +42,13 @@ def main() -> None:
     from pallium.plans import all_queries
     from pallium.session import local_session
 
-    spark = local_session(cpus, shuffle_partitions=int(cpus) * 2 if cpus.isdigit() else 16, app="pallium-bench")
+    event_log = os.environ.get("BENCH_EVENT_LOG")  # opt-in: a scratch folder for stage times
+    conf = (
+        {"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_log, "spark.eventLog.compress": "false"}
+        if event_log else None
+    )
+    spark = local_session(cpus, shuffle_partitions=int(cpus) * 2 if cpus.isdigit() else 16, app="pallium-bench",
+                          conf=conf)
     queries = all_queries()
     # Warm-up: JVM, parquet readers and the regex classes, on a tiny input.
     warmup_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")

@@ -12,7 +12,7 @@ from pallium.plans import duck
 from pallium.plans.duck import q
 from pallium.plans.pii_queries import _DOC_CTES, _DOC_LAST, cleaned_documents, tokenized_documents
 from pallium.plans.registry import query
-from pallium.session import table
+from pallium.session import spread, table
 
 SPAN_SOURCES = [("EMAIL", "EMAIL_ADDRESS"), ("IP_ADDRESS", "IP_ADDRESS")]
 
@@ -127,7 +127,10 @@ WHERE a."end" > a.start AND NOT EXISTS (
       (b.start < a.start OR (b.start = a.start AND b.entity_type < a.entity_type)))))""",
 )
 def q_resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(
+        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"),
+        "l_orderkey",
+    )
     spans = li.select(
         F.col("l_orderkey").alias("doc"),
         (F.col("l_linenumber") * 10).alias("start"),

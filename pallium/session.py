@@ -15,10 +15,15 @@ TABLES = [
 ]
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "pallium") -> SparkSession:
-    """A local session with the settings the tests and the benchmark use."""
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "pallium",
+                  conf: dict[str, str] | None = None) -> SparkSession:
+    """A local session with the settings the tests and the benchmark use;
+    ``conf`` adds or overrides settings."""
+    builder = SparkSession.builder
+    for key, value in (conf or {}).items():
+        builder = builder.config(key, value)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
