@@ -55,7 +55,7 @@ def split_matches(col: Column, entity_type: str) -> Column:
     return F.split(wrapped, SENTINEL, -1)
 
 
-def _guards(text: Column) -> dict[str, Column]:
+def stage_guards(text: Column) -> dict[str, Column]:
     """Cheap per-row tests on the *original* text; a stage whose test fails
     cannot match and its regex is skipped.
 
@@ -134,7 +134,7 @@ def tokenize_cascade(
     are materialized between stages.
     """
     wanted = [t for t in CASCADE_TYPES if types is None or t in types]
-    guards = _guards(F.col(text_col))
+    guards = stage_guards(F.col(text_col))
     guard_cols = {t: f"__pallium_can_{t.lower()}" for t in guards if t in wanted}
     keep = [c for c in df.columns if c not in (out_col, entries_col)]
     acc = f"named_struct('t', `{text_col}`, 'e', CAST(array() AS array<{ENTRY_TYPE}>))"

@@ -20,6 +20,9 @@ SPAN_SOURCES = [("EMAIL", "EMAIL_ADDRESS"), ("IP_ADDRESS", "IP_ADDRESS")]
 def regex_spans(df: DataFrame, doc: str, text: str, entity_type: str, label: str) -> DataFrame:
     """Spans of one pattern: match offsets from cumulative piece lengths."""
     marked = cz.split_matches(F.col(text), entity_type)
+    guard = cz.stage_guards(F.col(text)).get(entity_type)
+    if guard is not None:  # no candidate characters: one piece, no match
+        marked = F.when(guard, marked).otherwise(F.array(F.col(text)))
     rows = cz.explode_rows(df, [doc], marked, "piece", pos="idx")
     w = Window.partitionBy(doc).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     st = F.coalesce(F.sum(F.char_length("piece")).over(w), F.lit(0)).cast("int")
