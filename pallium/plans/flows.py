@@ -76,6 +76,7 @@ def analyze_texts(
     wait: tuple[float, float] = (4.0, 10.0),
     concurrency: int = 1,
     dedupe_prompts: bool = True,
+    answer_cache: str | None = None,
 ) -> DataFrame:
     """P1 over a table of texts.
 
@@ -92,7 +93,10 @@ def analyze_texts(
     (default) it is called once per distinct prompt: prompts are keyed by
     their SHA-256, de-duplicated (partial aggregation map-side, so a prompt
     repeated across a third of the corpus is one call, not a hot task), and
-    the answers joined back on the hash.
+    the answers joined back on the hash. With ``answer_cache`` (a parquet
+    folder on shared storage, used with ``dedupe_prompts``) successful
+    answers are kept across runs: prompts answered before are not sent
+    again, so rerunning a failed job does not repeat finished calls.
     """
     d = inline_source(df, text_col, label_col, default_label)
     cleaned = F.col(text_col) if precleaned else clean_text(text_col)
@@ -115,8 +119,17 @@ def analyze_texts(
         todo = tok.filter(F.col("__blank").isNull()).select(call_key, "prompt")
         if dedupe_prompts:
             todo = todo.dropDuplicates([call_key])
+        cached = _cached_answers(df.sparkSession, answer_cache, call_key) if dedupe_prompts else None
+        if cached is not None:
+            todo = todo.join(cached.select(call_key), call_key, "left_anti")
         calls = analyze(todo, analyzer, call_key, "prompt", attempts, wait, concurrency)
         calls = calls.checkpoint(eager=True)
+        if cached is not None or (answer_cache and dedupe_prompts):
+            calls.filter(F.col("call_error").isNull()).select(call_key, "raw", "call_error").write.mode(
+                "append"
+            ).parquet(answer_cache)
+            if cached is not None:
+                calls = calls.select(call_key, "raw", "call_error").unionByName(cached)
         answered = tok.join(calls.select(call_key, "raw", "call_error"), call_key, "left_outer")
 
     parsed = an.parse_answer(answered, "raw")
@@ -139,6 +152,18 @@ def analyze_texts(
     )
 
 
+def _cached_answers(spark, path: str | None, call_key: str) -> DataFrame | None:
+    """Answers kept by earlier runs (successes only), or None."""
+    if not path:
+        return None
+    try:
+        kept = spark.read.schema(f"`{call_key}` string, raw string, call_error string").parquet(path)
+        # one answer per prompt even if two runs both stored one
+        return kept.dropDuplicates([call_key])
+    except Exception:  # no cache written yet
+        return None
+
+
 def store_outcomes(store, outcomes: DataFrame, key_col: str = "doc_id") -> DataFrame:
     """P1/P2 last step (S7 + A7): append the successful rows to the result
     table and return every outcome with its ``contract_id`` (null for
