@@ -34,3 +34,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pallium.llm import bpe
 
     return bpe.digest(bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
+@query
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pallium.llm import secrets
+
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
