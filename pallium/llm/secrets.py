@@ -132,10 +132,12 @@ def _joined(secrets: Column) -> Column:
 def digest(found: DataFrame) -> DataFrame:
     """Counts and digests of :func:`find_secrets`'s rows."""
     secrets = F.col("secrets")
-    count = {k: F.size(F.filter(secrets, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
-             for k in BASE_KINDS}
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(secrets, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = F.filter(secrets, lambda s: s["kind"].isin(*BASE_KINDS))
-    return found.select("doc_id", *count.values(), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
+    return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
                         _joined(secrets).alias("spans"))
 
 
