@@ -106,3 +106,10 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pallium.llm import urls
 
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pallium.llm import neardup
+
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
