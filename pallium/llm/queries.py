@@ -113,3 +113,10 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pallium.llm import neardup
 
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pallium.llm import topk
+
+    return topk.search(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", 10)
