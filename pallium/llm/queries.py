@@ -120,3 +120,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pallium.llm import topk
 
     return topk.search(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", 10)
+
+
+@query()
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pallium.llm import ngram_join
+
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
