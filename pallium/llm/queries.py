@@ -127,3 +127,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pallium.llm import ngram_join
 
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pallium.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
