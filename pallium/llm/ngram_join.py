@@ -5,8 +5,8 @@ first. If two documents are similar, the l-prefixes of both (the first
 ``n - ceil(0.75 n) + l`` shingles) share at least l shingles, for any l. A
 document chooses the l whose estimated cost, from the frequencies of the
 shingles in its prefix, is least: a longer prefix means more list entries to
-read but demands more shared shingles before a pair is verified. A pair is a
-candidate if it shares min(l, l') prefix shingles.
+read but demands more shared shingles before a pair is verified. How many a
+pair must share follows from both sizes and both l (:func:`demanded`).
 
 How the work is kept small and even:
 
@@ -19,10 +19,11 @@ How the work is kept small and even:
   documents, so a shingle that a third of the documents hold adds no more rows
   than there are chunks.
 * Shingles of a single document can match nothing and are dropped.
-* Candidates are first verified against one leader each. What is then linked
-  needs no further pairs; only pairs across components remain, and those are
-  counted, filtered and verified all. Long lists are dealt out in pairs of
-  blocks, and a leader's many followers in parts.
+* Documents are first verified against leaders of their lists, those with the
+  most shared shingles in their prefix. What is then linked needs no further
+  pairs; only pairs across components remain, and those are counted, filtered
+  and verified all. Long lists are dealt out in pairs of blocks, and a leader's
+  many followers in parts.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pallium.llm.common import column_of, cut, packed, streamed_groups
@@ -52,8 +53,9 @@ VERIFY_COST = 0.05
 CHUNK, BUCKET, BLOCK, PART = 1 << 20, 1 << 20, 256, 256
 #: Pairs up to this many are joined to the texts by broadcast, more by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Rounds in which documents are verified against a leader before all pairs are.
-LEADER_ROUNDS = 2
+#: Rounds in which documents are verified against leaders before all pairs are:
+#: leaders of a list, and leaders that a document tries.
+LEADER_ROUNDS = ((1, 1), (4, 2), (8, 2))
 
 _LIMIT = np.uint64(int(COUNTED * 2**64))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -86,6 +88,21 @@ def needed(n: np.ndarray | int):
     return -(-n * PERCENT // 100)
 
 
+def demanded(n, l, n2, l2, least):
+    """Prefix shingles that two documents must share to be similar; for
+    columns and arrays alike.
+
+    Let the first one's prefix end first in the global order. Then what it
+    shares beyond its prefix is no more than its rest, needed(n) - l, and what
+    it shares in its prefix is in the other's prefix too.
+    """
+    both = 0 - (0 - PERCENT * (n + n2)) // (100 + PERCENT) if least is np.minimum else F.ceil(
+        PERCENT * (n + n2) / (100 + PERCENT))
+    rest, rest2 = (needed(n) - l, needed(n2) - l2) if least is np.minimum else (
+        F.ceil(n * PERCENT / 100) - l, F.ceil(n2 * PERCENT / 100) - l2)
+    return least(both - rest, both - rest2)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both)
@@ -174,7 +191,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     names=["chunk", "hashes", "counts"])
 
 
-_ENTRY_TYPE = "hash long, doc long, n int, l int, df long"
+_ENTRY_TYPE = "hash long, doc long, n int, l int, df long, m int"
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,32 +232,39 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = carries[doc] & (df > 1) & (place < (n - needed(n) + best)[doc])
         ids = np.array([x if x is not None else 0 for x in rows["ids"][main]], dtype=np.int64)
         d = doc[use]
+        met = np.bincount(d, minlength=len(kept)).astype(np.int32)
         for s in range(0, len(d), 65536):
             e = slice(s, s + 65536)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(tokens[use][e].view("<i8")), pa.array(ids[d[e]]), pa.array(n[d[e]].astype(np.int32)),
-                 pa.array(best[d[e]].astype(np.int32)), pa.array(df[use][e])], names=["hash", "doc", "n", "l", "df"])
+                 pa.array(best[d[e]].astype(np.int32)), pa.array(df[use][e]), pa.array(met[d[e]])],
+                names=["hash", "doc", "n", "l", "df", "m"])
 
 
-def _long_enough(a: str, b: str):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+def _may_link(a: str, b: str) -> Column:
+    """Sizes and numbers of prefix entries allow a link; a and b are structs."""
+    n, n2 = F.col(f"{a}.n"), F.col(f"{b}.n")
+    enough = F.least(F.col(f"{a}.m"), F.col(f"{b}.m")) >= demanded(n, F.col(f"{a}.l"), n2, F.col(f"{b}.l"), F.least)
+    return (F.least(n, n2) * 100 >= F.greatest(n, n2) * PERCENT) & enough
 
 
-def _leader_pairs(entries: DataFrame) -> DataFrame:
-    """One candidate pair per document: of its lists' first documents in
-    another component, the one it meets most often."""
+def _leader_pairs(entries: DataFrame, tried: DataFrame | None, leaders: int, tries: int) -> DataFrame:
+    """Candidate pairs of documents and leaders of their lists in another
+    component, the ones that a document meets most often. A list's leaders
+    are the documents with the most entries of each of its random parts."""
     parts = F.ceil(F.col("df") / PART).cast("int")
-    head = F.struct("comp", "doc", "n")
-    heads = (entries.groupBy("hash").agg(F.min(head).alias("h"), F.max("comp").alias("last"), F.max("df").alias("df"))
-             .filter("h.comp <> last")
-             .select("hash", F.col("h.doc").alias("lead"), F.col("h.comp").alias("lead_comp"), F.col("h.n").alias("lead_n"),
-                     F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")))
-    dealt = entries.withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int"))
-    met = (dealt.join(heads, ["hash", "part"]).filter(F.col("comp") != F.col("lead_comp"))
-           .filter(_long_enough("n", "lead_n")))
-    counted = met.groupBy("doc", "lead").count()
-    return counted.groupBy("doc").agg(F.max(F.struct("count", -F.col("lead"))).alias("m")).select(
-        (-F.col("m.col2")).alias("a"), F.col("doc").alias("b"))
+    mine = F.struct("doc", "comp", "n", "l", "m")
+    heads = (entries.groupBy("hash", F.pmod(F.xxhash64("doc", F.lit(leaders)), F.lit(leaders)).alias("seat"))
+             .agg(F.max(F.struct("m", (-F.col("doc")).alias("order"), mine.alias("lead"))).alias("h"), F.max("df").alias("df"))
+             .select("hash", "h.lead", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")))
+    dealt = entries.select("hash", mine.alias("mine"), F.pmod(F.xxhash64("doc"), parts).cast("int").alias("part"))
+    met = (dealt.join(heads, ["hash", "part"]).filter(F.col("mine.comp") != F.col("lead.comp"))
+           .filter(_may_link("mine", "lead")))
+    counted = met.groupBy(F.col("lead.doc").alias("a"), F.col("mine.doc").alias("b")).count()
+    if tried is not None:
+        counted = counted.join(tried, ["a", "b"], "left_anti")
+    choice = Window.partitionBy("b").orderBy(F.desc("count"), "a")
+    return counted.withColumn("place", F.row_number().over(choice)).filter(F.col("place") <= tries).select("a", "b")
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,14 +277,17 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                            pa.array(count.astype(np.int64))], names=["a", "b", "need", "shared"])
 
     for key, group in streamed_groups(batches, ["hash", "i", "j"]):
-        doc, comp, n, least, mine = (group[c].to_numpy().astype(np.int64) for c in ("doc", "comp", "n", "l", "mine"))
+        doc, comp, n, l, m, mine = (group[c].to_numpy().astype(np.int64) for c in ("doc", "comp", "n", "l", "m", "mine"))
         may = np.triu(comp[:, None] != comp[None, :], 1)
         if key[1] != key[2]:
             may &= mine[:, None] != mine[None, :]
         may &= np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * PERCENT
         x, y = np.nonzero(may)
+        need = demanded(n[x], l[x], n[y], l[y], np.minimum)
+        able = np.minimum(m[x], m[y]) >= need
+        x, y, need = x[able], y[able], need[able]
         if len(x):
-            held.append(np.column_stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y]), np.minimum(least[x], least[y])]))
+            held.append(np.column_stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y]), need]))
             rows += len(x)
         if rows > 500_000:
             yield flush()
@@ -270,15 +297,14 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _all_pairs(entries: DataFrame) -> DataFrame:
-    """Every pair across components that shares as many prefix shingles as its
-    documents' choices of l demand."""
+    """Every pair across components that shares as many prefix shingles as is demanded."""
     lists = (entries.groupBy("hash").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("rows"))
              .filter("c0 <> c1").select("hash", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")))
     cell = ["hash", "i", "j"]
     cells = (entries.join(lists, "hash").withColumn("mine", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
              .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
              .select("hash", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc",
-                     "comp", "n", "l"))
+                     "comp", "n", "l", "m"))
     pairs = (cells.repartition(*cell).sortWithinPartitions(*cell, "doc")
              .mapInArrow(_crossing, "a long, b long, need long, shared long"))
     return (pairs.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared"))
@@ -287,7 +313,12 @@ def _all_pairs(entries: DataFrame) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = [packed(shingles(t), "<u8") for t in column_of(batch, "text")]
+        made, last = [], None
+        for text in batch.column(batch.schema.get_field_index("text")):
+            text = text.as_py()
+            if text != last:  # a text's rows follow each other
+                last, data = text, packed(shingles(text), "<u8")
+            made.append(data)
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(made, pa.binary())],
                                          names=["a", "part", "follows", "b", "set"])
 
@@ -310,7 +341,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose whole shingle sets are similar."""
-    pairs = cut(pairs)
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     follow = (pairs.join(sizes, "a")
               .select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("follows"), "b"))
@@ -361,19 +391,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
              .union(idle.select("chunk", F.lit(2), none["array<long>"], none["array<int>"], "kept", none["binary"], none["binary"])))
     entries = cut(parts.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_prefixes, _ENTRY_TYPE))
 
-    links, comps = None, None
-    for step in range(LEADER_ROUNDS + 1):
+    links = comps = tried = None
+    for step in (*LEADER_ROUNDS, None):
         if comps is None:
             current = entries.withColumn("comp", F.col("doc"))
         else:
             current = cut(entries.join(comps, entries["doc"] == comps["id"], "left").withColumn(
                 "comp", F.coalesce("component", "doc")).drop("id", "component"))
-        pairs = _leader_pairs(current) if step < LEADER_ROUNDS else _all_pairs(current)
+        pairs = cut(_leader_pairs(current, tried, *step) if step else _all_pairs(current))
+        tried = pairs if tried is None else tried.union(pairs)
         new = _verified(pairs, texts)
         if links is not None and new.isEmpty():
             continue  # the components are as they were
         links = new if links is None else links.union(new)
-        comps = connected_components(links)
+        comps = cut(connected_components(links))
 
     nodes = comps.join(classes.groupBy("node").agg(F.min("first").alias("first")), F.col("id") == F.col("node"))
     smallest = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
