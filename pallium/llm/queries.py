@@ -142,3 +142,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pallium.llm import html_text
+
+    return html_text.extract(table(spark, sf_dir, "pages"))
