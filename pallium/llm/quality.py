@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -218,3 +219,11 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, score double").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
+
+
+def accepted(text: Column, network: Network, accept: float = ACCEPT) -> Column:
+    """Whether texts (null: empty) score high enough to stay."""
+    def decide(texts: pd.Series) -> pd.Series:
+        return pd.Series(network.scores(texts.tolist()) >= accept, index=texts.index)
+
+    return F.pandas_udf(decide, "boolean")(F.coalesce(text, F.lit("")).cast("binary"))
