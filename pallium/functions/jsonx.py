@@ -12,21 +12,24 @@ def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: No limits on string length, number length or depth, which the parser has by
+#: default; and no syntax beyond JSON.
+UNLIMITED = {"maxStringLen": "2147483647", "maxNumLen": "2147483647", "maxNestingDepth": "2147483647"}
+STRICT = UNLIMITED | {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
+
+
 def is_strict_json(c: ColumnOrName) -> Column:
-    """True when the whole string is exactly one JSON value.
-
-    ``from_json`` and ``try_parse_json`` both accept trailing junk after a
-    value, and ``from_json`` turns ``''`` into null. The string is parsed in
-    two wrappings, ``[s]`` and ``[s,null]``: strict JSON gives one and two
-    elements. If ``s`` closed the bracket early (``1] [2``), both parses would
-    stop at the same place and give the same count, so the pair of counts is
-    exact. Null input gives false.
+    """True when the whole string is exactly one JSON value, of any size.
+
+    The string is parsed in two wrappings, ``[s]`` and ``[s,null]``, as an
+    array whose elements are kept as text: strict JSON gives one and two
+    elements. The parser accepts trailing junk after a value; if ``s`` closed
+    the bracket early (``1] [2``), both parses would stop at the same place
+    and give the same count, so the pair of counts is exact. Duplicate keys
+    are valid, as in Python, whatever the session's settings. Null input gives
+    false.
     """
     s = _col(c)
-    one = F.try_parse_json(F.concat(F.lit("["), s, F.lit("]")))
-    two = F.try_parse_json(F.concat(F.lit("["), s, F.lit(",null]")))
-    present = lambda v, path: F.try_variant_get(v, path, "variant").isNotNull()
-    return F.coalesce(
-        present(one, "$[0]") & ~present(one, "$[1]") & present(two, "$[1]") & ~present(two, "$[2]"),
-        F.lit(False),
-    )
+    one = F.from_json(F.concat(F.lit("["), s, F.lit("]")), "array<string>", STRICT)
+    two = F.from_json(F.concat(F.lit("["), s, F.lit(",null]")), "array<string>", STRICT)
+    return F.coalesce((F.size(one) == 1) & (F.size(two) == 2), F.lit(False))

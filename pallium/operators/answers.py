@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pallium.functions.jsonx import is_strict_json
+from pallium.functions.jsonx import UNLIMITED, is_strict_json
 from pallium.functions.patterns import (
     ANSWER_SECTIONS,
     MSG_BAD_ANSWER,
@@ -112,7 +112,7 @@ def parse_answer(df: DataFrame, raw_col: str = "raw", prefix: str = "") -> DataF
     return (
         df.withColumn(prefix + "parse_ok", ok)
         .withColumn(prefix + "answer_json", answer_json)
-        .withColumn(prefix + "answer", F.when(ok, F.from_json(raw, ANSWER_SCHEMA)))
+        .withColumn(prefix + "answer", F.when(ok, F.from_json(raw, ANSWER_SCHEMA, UNLIMITED)))
     )
 
 

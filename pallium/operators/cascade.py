@@ -13,8 +13,8 @@ number. The seven stages form one nested expression, each stage's input
 bound once. It is evaluated inside a generator, which is also an optimizer
 barrier. There is no shuffle and no Python on this path.
 
-The sentinel is U+0001, a control character that cleaning turns into a
-space, so it cannot occur in cleaned text. Run the cascade on cleaned text.
+The sentinel is U+0001, which cleaning turns into a space. A text that holds
+it all the same is split and matched in two passes without a sentinel.
 """
 
 from __future__ import annotations
@@ -51,8 +51,13 @@ def split_matches(col: Column, entity_type: str) -> Column:
     """The text split into alternating pieces and matches, ``[piece, match,
     piece, ..., piece]``: one regex pass wraps each match in U+0001, then a
     literal split on that character."""
-    wrapped = F.regexp_replace(col, java_pattern(entity_type), SENTINEL + "$0" + SENTINEL)
-    return F.split(wrapped, SENTINEL, -1)
+    pattern = java_pattern(entity_type)
+    wrapped = F.split(F.regexp_replace(col, pattern, SENTINEL + "$0" + SENTINEL), SENTINEL, -1)
+    matches = F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
+    # One piece more than matches: the last match is null.
+    apart = F.flatten(F.zip_with(F.split(col, pattern, -1), matches,
+                                 lambda piece, match: F.when(match.isNull(), F.array(piece)).otherwise(F.array(piece, match))))
+    return F.when(F.contains(col, F.lit(SENTINEL)), apart).otherwise(wrapped)
 
 
 def stage_guards(text: Column) -> dict[str, Column]:
@@ -91,9 +96,14 @@ def _stage_sql(acc: str, entity_type: str, guard_col: str | None) -> str:
     (matches reversed, numbered from 1). Rows whose guard is false, or with
     no match, keep ``acc`` as it is.
     """
+    pattern = _sql_str(java_pattern(entity_type))
+    apart = (
+        f"flatten(zip_with(split(x0.t, {pattern}, -1), regexp_extract_all(x0.t, {pattern}, 0), "
+        f"(a, b) -> CASE WHEN b IS NULL THEN array(a) ELSE array(a, b) END))"
+    )
     marked = (
-        f"split(regexp_replace(x0.t, {_sql_str(java_pattern(entity_type))}, "
-        f"concat(char(1), '$0', char(1))), char(1), -1)"
+        f"CASE WHEN contains(x0.t, char(1)) THEN {apart} ELSE "
+        f"split(regexp_replace(x0.t, {pattern}, concat(char(1), '$0', char(1))), char(1), -1) END"
     )
     if guard_col is not None:
         marked = f"CASE WHEN `{guard_col}` THEN {marked} END"
@@ -147,8 +157,9 @@ def tokenize_cascade(
     # into it, and run a second time before the rows are spread. The outer
     # form keeps the optimizer from inferring a ``size > 0`` predicate over
     # the same expression. One row in, one row out.
-    out = staged.select(*keep, F.inline_outer(F.array(F.expr(acc))))
-    return out.select(*keep, F.col("t").alias(out_col), F.col("e").alias(entries_col))
+    named = f"transform(array({acc}), r -> named_struct('__pallium_t', r.t, '__pallium_e', r.e))"
+    out = staged.select(*keep, F.inline_outer(F.expr(named)))
+    return out.select(*keep, F.col("__pallium_t").alias(out_col), F.col("__pallium_e").alias(entries_col))
 
 
 def explode_rows(df: DataFrame, keep: list[str], c: Column, name: str, pos: str | None = None) -> DataFrame:
@@ -199,19 +210,19 @@ def counts_by_type(df: DataFrame, key_cols: list[str], entries_col: str = "entri
         ),
         lambda x: x["n_entities"] > 0,
     )
-    return explode_rows(df, key_cols, per_type, "c").select(*key_cols, "c.entity_type", "c.n_entities")
+    return explode_rows(df, key_cols, per_type, "__item").select(*key_cols, "__item.entity_type", "__item.n_entities")
 
 
 def token_vault(df: DataFrame, key_cols: list[str], entries_col: str = "entries") -> DataFrame:
     """One row per issued token ``(keys..., seq, entity_type, n, token,
     value)``; ``seq`` is the 0-based insertion position in the mapping."""
-    return explode_rows(df, key_cols, F.col(entries_col), "e", pos="seq").select(
+    return explode_rows(df, key_cols, F.col(entries_col), "__item", pos="__seq").select(
         *key_cols,
-        F.col("seq").cast("bigint").alias("seq"),
-        "e.entity_type",
-        F.col("e.n").cast("bigint").alias("n"),
-        "e.token",
-        "e.value",
+        F.col("__seq").cast("bigint").alias("seq"),
+        "__item.entity_type",
+        F.col("__item.n").cast("bigint").alias("n"),
+        "__item.token",
+        "__item.value",
     )
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from pallium.functions.patterns import SPAN_ENTITY_TYPES
 from pallium.operators.cascade import ENTRY_TYPE, token, tokenize_cascade
-from pallium.session import num_partitions
 
 
 # D16 ------------------------------------------------------------------------
@@ -20,141 +19,112 @@ def allowlisted(spans: DataFrame, type_col: str = "entity_type", types: list[str
 
 
 # D18 ------------------------------------------------------------------------
-def rank_key(start: str = "start", end: str = "end") -> Column:
-    """Smaller is better: longest first, then earliest start, packed in one
-    long (``-length * 2^32 + start``; offsets below 2^32). Only valid once
-    identical extents are merged (see ``resolve_overlaps``)."""
-    length = (F.col(end) - F.col(start)).cast("long")
-    return (-length) * F.lit(1 << 32) + F.col(start).cast("long")
-
-
 def resolve_overlaps(spans: DataFrame, doc: str, start: str = "start", end: str = "end",
-                     type_col: str = "entity_type", bucket_width: int = 64) -> DataFrame:
-    """Drop every span that overlaps a better-ranked span of the same document.
-
-    Rank: longest first, then earliest start, then smaller type name. The
-    result is disjoint; spans that overlap nothing are kept as they are.
-    Spans with ``end <= start`` cover no text and are dropped as invalid.
-
-    Exact and pair-free, in three steps:
-
-    1. Spans with the same extent always overlap each other, so only the
-       smallest type name can survive; merging them (one aggregate) leaves
-       extents unique, and (length, start) -- packed in a long -- orders them
-       totally.
-    2. Isolated spans skip the rest. Positions are cut into buckets of
-       ``bucket_width``; a span that is the only one touching every bucket it
-       touches overlaps nothing and survives. Detector output is mostly
-       sparse, so at scale most spans leave here, at one or two rows each.
-    3. The crowded rest is exploded into the positions each span covers; a
-       hash aggregate (partial aggregation map-side) finds the best key at
-       each ``(doc, position)``; a span survives when it wins at as many
-       positions as it covers, i.e. at all of them. An isolated span cannot
-       overlap a crowded one, so handling the groups apart is exact.
-
-    Every step is an aggregate or an equi-join on keys that include the
-    position or bucket, never pairs of spans: work grows with the total span
-    length, not with the square of the spans in a hot document.
+                     type_col: str = "entity_type") -> DataFrame:
+    """Merge overlapping spans of a document, so that the result is disjoint
+    and covers exactly the positions that the input covers: nothing detected
+    is left in clear.
+
+    Spans that overlap, directly or through others, become one span from the
+    smallest start to the largest end. It takes the type of its best-ranked
+    member: longest first, then earliest start, then smaller type name. Spans
+    that only touch stay apart. Spans with ``end <= start`` cover no text and
+    are dropped as invalid.
+
+    One shuffle on the document and one window ordered by start: a span opens
+    a new group where it starts at or after the largest end before it. The
+    work does not depend on the length of a span.
     """
-    s = (
+    before = Window.partitionBy(doc).orderBy(start, end, type_col).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy(doc).orderBy(start, end, type_col).rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(end).over(before)
+    rank = F.struct((F.col(start) - F.col(end)).alias("shorter"), F.col(start).alias("first"), F.col(type_col).alias("name"))
+    return (
         spans.select(doc, start, end, type_col)
         .filter(F.col(end) > F.col(start))
-        .groupBy(doc, start, end)
-        # smallest type name; collect_set keeps this a hash aggregate (a
-        # string min() would fall back to a sort-based one)
-        .agg(F.array_min(F.collect_set(type_col)).alias(type_col))
-        .withColumn("__key", rank_key(start, end))
-    )
-    w = F.lit(bucket_width)
-    touch = s.select(
-        doc, "__key", start, end, type_col,
-        F.explode(F.sequence(F.floor(F.col(start) / w), F.floor((F.col(end) - 1) / w))).alias("__b"),
-    )
-    crowd = touch.groupBy(doc, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    flagged = (
-        touch.join(crowd, [doc, "__b"])
-        .groupBy(doc, "__key", start, end, type_col)
-        .agg(F.max("__c").alias("__most"))
+        .withColumn("__opens", F.when(reach > F.col(start), 0).otherwise(1))
+        .withColumn("__group", F.sum("__opens").over(so_far))
+        .groupBy(doc, "__group")
+        .agg(F.min(start).alias("__start"), F.max(end).alias("__end"), F.min(rank).alias("__best"))
+        .select(doc, F.col("__start").alias(start), F.col("__end").alias(end), F.col("__best.name").alias(type_col))
     )
-    isolated = flagged.filter(F.col("__most") == 1).drop("__most")
-    crowded = flagged.filter(F.col("__most") > 1).drop("__most")
-
-    cover = crowded.select(doc, "__key", F.explode(F.sequence(F.col(start), F.col(end) - 1)).alias("__pos"))
-    best = cover.groupBy(doc, "__pos").agg(F.min("__key").alias("__key"))
-    wins = best.groupBy(doc, "__key").agg(F.count(F.lit(1)).alias("__wins"))
-    length = (F.col(end) - F.col(start)).cast("bigint")
-    kept = crowded.join(wins, [doc, "__key"]).filter(F.col("__wins") == length).drop("__wins")
-    return isolated.unionByName(kept).drop("__key")
 
 
 # D9 on spans, D15, D11 (span order) ----------------------------------------------
-def number_spans(spans: DataFrame, doc: str, start: str = "start", type_col: str = "entity_type",
-                 num_partitions: int | None = None) -> DataFrame:
-    """Right-to-left numbering per (document, type): the last span is 1.
-
-    Spans are first hash-partitioned on the document, which also serves the
-    per-document grouping that follows and, with ``num_partitions`` equal to
-    the documents' partition count, the join with them (no further shuffle
-    of spans)."""
+def number_spans(spans: DataFrame, doc: str, start: str = "start", type_col: str = "entity_type") -> DataFrame:
+    """Right-to-left numbering per (document, type): the last span is 1."""
     w = Window.partitionBy(doc, type_col).orderBy(F.col(start).desc())
-    parted = spans.repartition(num_partitions, doc) if num_partitions else spans.repartition(doc)
-    return parted.withColumn("n", F.row_number().over(w))
+    return spans.withColumn("n", F.row_number().over(w))
+
+
+#: Code points per chunk of a text that pieces are taken from.
+CHUNK = 256
+
+
+def chunked(text: Column) -> Column:
+    """The text cut once into chunks of CHUNK code points (the last shorter)."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def piece(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of a chunked text. Reads the chunks
+    they lie in only, so all pieces of a text cost time linear in the text;
+    ``substr`` on the text would scan from its beginning for each piece."""
+    first = (start / CHUNK).cast("int")
+    last = ((end - 1) / CHUNK).cast("int")
+    near = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+    return F.when(end > start, F.substr(near, start % CHUNK + 1, end - start)).otherwise(F.lit(""))
 
 
 def tokenize_spans(docs: DataFrame, spans: DataFrame, doc: str, text_col: str = "text",
                    out_col: str = "tokenized_text", entries_col: str = "entries",
                    start: str = "start", end: str = "end", type_col: str = "entity_type",
-                   resolve: bool = False) -> DataFrame:
+                   resolve: bool = True) -> DataFrame:
     """Replace each span by its token.
 
-    Spans must be disjoint, as D18 leaves them. With ``resolve=True``
-    overlapping spans are resolved first (``resolve_overlaps``); for disjoint
-    spans the result is the same either way. The detector-output path
-    (``tokenize_with_fallback``) resolves by default.
-
-    Spans are numbered (D9), gathered per document in start order (one
-    shuffle of the small span rows), and joined to the documents. The text is
-    rebuilt in one pass from the gaps between spans and the tokens --
-    linear in the text, unlike rewriting the whole string once per span.
-    Entries (D11) are in start-descending order over all types. Documents
-    without spans keep their text and an empty entry list.
+    Overlapping spans are merged first (``resolve_overlaps``); for disjoint
+    spans that changes nothing, and ``resolve=False`` skips it for spans that
+    are known to be disjoint.
+
+    Spans are numbered (D9), gathered per document in start order (the
+    small span rows are shuffled by document once), and joined to the
+    documents. The text is cut into chunks once and rebuilt from the gaps
+    between spans and the tokens, in time linear in the text. Entries (D11)
+    are in start-descending order over all types. Documents without spans
+    keep their text and an empty entry list. Building the plan runs no job.
     """
-    if resolve:
-        spans = resolve_overlaps(spans, doc, start, end, type_col)
-    numbered = number_spans(spans, doc, start, type_col, num_partitions(docs))
-    per_doc = numbered.groupBy(doc).agg(
+    # Grouped by document either way, which the numbering and gathering reuse.
+    by_doc = resolve_overlaps(spans, doc, start, end, type_col) if resolve else spans.repartition(doc)
+    per_doc = number_spans(by_doc, doc, start, type_col).groupBy(doc).agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
-                    F.col(start).alias("s"), F.col(end).alias("e"), F.col(type_col).alias("t"),
+                    F.col(start).cast("int").alias("s"), F.col(end).cast("int").alias("e"), F.col(type_col).alias("t"),
                     F.col("n").cast("int").alias("n"),
                 )
             )
         ).alias("__spans")
     )
-    j = docs.join(per_doc, doc, "left_outer")
+    j = docs.join(per_doc, doc, "left_outer").withColumn("__chunks", F.when(F.col("__spans").isNotNull(), chunked(F.col(text_col))))
     sp = F.coalesce(F.col("__spans"), F.array().cast("array<struct<s:int,e:int,t:string,n:int>>"))
-    text = F.col(text_col)
+    text, chunks = F.col(text_col), F.col("__chunks")
 
     def prev_end(i: Column) -> Column:
         return F.when(i == 0, F.lit(0)).otherwise(F.element_at(sp, i)["e"])
 
-    pieces = F.transform(
-        sp,
-        lambda x, i: F.concat(F.substr(text, prev_end(i) + 1, x["s"] - prev_end(i)), token(x["t"], x["n"])),
-    )
+    pieces = F.transform(sp, lambda x, i: F.concat(piece(chunks, prev_end(i), x["s"]), token(x["t"], x["n"])))
     last_end = F.when(F.size(sp) == 0, F.lit(0)).otherwise(F.element_at(sp, -1)["e"])
     rebuilt = F.concat(F.array_join(pieces, ""), F.substr(text, last_end + 1))
     entries = F.transform(
         F.reverse(sp),
         lambda x: F.struct(
             x["t"].alias("entity_type"), x["n"].alias("n"), token(x["t"], x["n"]).alias("token"),
-            F.substr(text, x["s"] + 1, x["e"] - x["s"]).alias("value"),
+            piece(chunks, x["s"], x["e"]).alias("value"),
         ),
     ).cast(f"array<{ENTRY_TYPE}>")
     return j.withColumn(out_col, F.when(F.size(sp) == 0, text).otherwise(rebuilt)).withColumn(
         entries_col, entries
-    ).drop("__spans")
+    ).drop("__spans", "__chunks")
 
 
 def spans_as_array(spans: DataFrame, doc: str, start: str = "start", end: str = "end",
@@ -174,7 +144,7 @@ def tokenize_with_fallback(docs: DataFrame, doc: str, text_col: str = "text", sp
     empty array means it ran and found nothing), the pattern cascade when
     ``spans_col`` is null (the detector was unavailable or failed). Each
     document starts with fresh numbering either way. Detector spans may
-    overlap; they are resolved first (D18) unless ``resolve=False``.
+    overlap; they are merged first (D18) unless ``resolve=False``.
 
     The span rows are exploded out of the array column, so the span path
     gets the same join-based plan as ``tokenize_spans``.

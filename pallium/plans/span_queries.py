@@ -122,12 +122,15 @@ FROM lineitem"""
 
 @query(
     "resolve_overlaps",
-    f"""WITH s AS ({_LINE_SPANS_SQL})
-SELECT a.doc, a.start, a."end", a.entity_type FROM s a
-WHERE a."end" > a.start AND NOT EXISTS (
-  SELECT 1 FROM s b WHERE b.doc = a.doc AND b."end" > b.start AND b.start < a."end" AND b."end" > a.start AND
-    (b."end" - b.start > a."end" - a.start OR (b."end" - b.start = a."end" - a.start AND
-      (b.start < a.start OR (b.start = a.start AND b.entity_type < a.entity_type)))))""",
+    # An end inside no span closes the group that the last start inside no span opened.
+    f"""WITH s AS (SELECT * FROM ({_LINE_SPANS_SQL}) WHERE "end" > start),
+opens AS (SELECT DISTINCT doc, start AS a FROM s x WHERE NOT EXISTS (
+  SELECT 1 FROM s y WHERE y.doc = x.doc AND y.start < x.start AND y."end" > x.start)),
+closes AS (SELECT DISTINCT doc, "end" AS z FROM s x WHERE NOT EXISTS (
+  SELECT 1 FROM s y WHERE y.doc = x.doc AND y.start < x."end" AND y."end" > x."end")),
+g AS (SELECT o.doc, o.a, min(c.z) AS z FROM opens o JOIN closes c ON c.doc = o.doc AND c.z > o.a GROUP BY o.doc, o.a)
+SELECT g.doc, g.a AS start, g.z AS "end", first(s.entity_type ORDER BY s."end" - s.start DESC, s.start, s.entity_type) AS entity_type
+FROM g JOIN s ON s.doc = g.doc AND s.start >= g.a AND s."end" <= g.z GROUP BY g.doc, g.a, g.z""",
 )
 def q_resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spread(

@@ -4,6 +4,7 @@ the checkpoint folder and spreading of text rows over tasks."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,41 +83,33 @@ def _cores(spark: SparkSession) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def num_partitions(df: DataFrame) -> int | None:
-    """Partitions the planned DataFrame will have, if it can be told without
-    running it (plans only; no job)."""
+def _planned_bytes(df: DataFrame) -> int:
+    """Size that the optimizer estimates for the rows (planning only)."""
     try:
-        return df.rdd.getNumPartitions()
-    except Exception:
-        return None
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except AttributeError:  # a remote session: no plan at hand
+        return 0
 
 
-def input_file_count(df: DataFrame) -> int | None:
-    """Distinct files behind the DataFrame's scans (planning metadata only)."""
-    try:
-        return len(set(df.inputFiles()))
-    except Exception:
-        return None
+def _bytes_of(size: str) -> int:
+    """A byte setting as a number: plain, or with a unit like ``128MB``."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)i?b?", size.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
 
 
 def spread(df: DataFrame, key: str | None = None, factor: int = 3) -> DataFrame:
     """Spread rows over tasks when the source cannot occupy the cluster.
 
-    Text work (regex) costs far more per byte than a shuffle, and a parquet
-    row group is the smallest unit a scan can split: a source made of few
-    files gives few busy tasks, however many (empty) splits the planner
-    makes. So the test is on distinct input files: with at least ``factor``
-    per core, the scan's own splits carry the parallelism and no shuffle is
-    paid (the case at scale); otherwise the rows are hash-partitioned on
-    ``key`` (deterministic on retry, no local sort), or dealt round-robin
-    without one. Inputs that are not file scans fall back to the partition
-    count.
+    Text work (regex) costs far more per byte than a shuffle, and a small
+    source gives few splits. The test is on bytes: with at least ``factor``
+    full splits per core, the scan's own splits carry the parallelism and no
+    shuffle is paid (the case at scale); otherwise the rows are hash-partitioned
+    on ``key`` (deterministic on retry, no local sort), or dealt round-robin
+    without one. Runs no job and lists no files.
     """
-    cores = _cores(df.sparkSession)
-    target = cores * factor
-    files = input_file_count(df)
-    enough = files >= target if files else (num_partitions(df) or 0) >= target
-    if enough:
+    spark = df.sparkSession
+    target = _cores(spark) * factor
+    if _planned_bytes(df) >= target * _bytes_of(spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB")):
         return df
     if key is not None:
         return df.repartition(target, key)
