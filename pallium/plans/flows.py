@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from pallium.operators import detokenize as dt
 from pallium.operators.analyze import analyze
 from pallium.session import ensure_checkpoint_dir
 from pallium.sources import files as fs
-from pallium.sources.inline import inline_source
+from pallium.sources.inline import assemble_pages, inline_source
 
 
 class NativeAnalyzer:
@@ -89,11 +90,14 @@ def analyze_texts(
     A Python ``analyzer`` is called through ``analyze`` (A2); the tokenized
     rows are pinned in the reliable checkpoint folder first and the answers
     after, so a lost executor neither re-runs the cascade nor calls the
-    analyzer again for answers already obtained. With ``dedupe_prompts``
-    (default) it is called once per distinct prompt: prompts are keyed by
-    their SHA-256, de-duplicated (partial aggregation map-side, so a prompt
-    repeated across a third of the corpus is one call, not a hot task), and
-    the answers joined back on the hash. With ``answer_cache`` (a parquet
+    analyzer again for answers already obtained. The pinned rows hold the
+    tokenized text once; prompts are built next to the call, and calls are
+    dealt over a fixed number of tasks, so that all cores wait on the
+    analyzer. With ``dedupe_prompts`` (default) it is called once per distinct
+    prompt: prompts are keyed by their SHA-256, de-duplicated (partial
+    aggregation map-side), and the answers joined back on the hash, those of
+    much repeated prompts in parts (``_join_answers``). Blank rows stay out of
+    both. With ``answer_cache`` (a parquet
     folder on shared storage, used with ``dedupe_prompts``) successful
     answers are kept across runs: prompts answered before are not sent
     again, so rerunning a failed job does not repeat finished calls.
@@ -104,24 +108,29 @@ def analyze_texts(
     blank_err = F.when(F.col("__clean") == F.lit(""), F.lit(blank_message))
     d = d.withColumn("__blank", blank_err).withColumn("token_collision", dt.token_collisions("__clean"))
     tok = cz.tokenize_cascade(d, "__clean", "tokenized_text", "entries")
-    tok = tok.withColumn("prompt", an.build_prompt("tokenized_text"))
+    prompt = an.build_prompt("tokenized_text")
 
     if isinstance(analyzer, NativeAnalyzer):
-        answered = tok.withColumn("raw", F.when(F.col("__blank").isNull(), analyzer(F.col("prompt")))).withColumn(
+        answered = tok.withColumn("raw", F.when(F.col("__blank").isNull(), analyzer(prompt))).withColumn(
             "call_error", F.lit(None).cast("string")
         )
     else:
         ensure_checkpoint_dir(df.sparkSession)
         call_key = "__prompt_sha" if dedupe_prompts else key_col
         if dedupe_prompts:
-            tok = tok.withColumn(call_key, F.sha2(F.col("prompt"), 256))
-        tok = tok.checkpoint(eager=True)
-        todo = tok.filter(F.col("__blank").isNull()).select(call_key, "prompt")
+            tok = tok.withColumn(call_key, F.when(F.col("__blank").isNull(), F.sha2(prompt, 256)))
+        tok = tok.drop("__clean").checkpoint(eager=True)
+        blank = tok.filter(F.col("__blank").isNotNull())
+        tok = tok.filter(F.col("__blank").isNull())
+        todo = tok.select(call_key, "tokenized_text")
         if dedupe_prompts:
             todo = todo.dropDuplicates([call_key])
         cached = _cached_answers(df.sparkSession, answer_cache, call_key) if dedupe_prompts else None
         if cached is not None:
             todo = todo.join(cached.select(call_key), call_key, "left_anti")
+        # By a hash of the key: dealt by the key itself, it would be merged with
+        # the shuffle of the de-duplication, whose partitions may be coalesced.
+        todo = todo.repartition(call_tasks(df.sparkSession), F.xxhash64(call_key)).select(call_key, prompt.alias("prompt"))
         calls = analyze(todo, analyzer, call_key, "prompt", attempts, wait, concurrency)
         calls = calls.checkpoint(eager=True)
         if cached is not None or (answer_cache and dedupe_prompts):
@@ -130,7 +139,8 @@ def analyze_texts(
             ).parquet(answer_cache)
             if cached is not None:
                 calls = calls.select(call_key, "raw", "call_error").unionByName(cached)
-        answered = tok.join(calls.select(call_key, "raw", "call_error"), call_key, "left_outer")
+        answered = _join_answers(tok, calls.select(call_key, "raw", "call_error"), call_key, key_col).unionByName(
+            blank, allowMissingColumns=True)
 
     parsed = an.parse_answer(answered, "raw")
     error = F.coalesce(F.col("__blank"), F.col("call_error"))
@@ -160,8 +170,39 @@ def _cached_answers(spark, path: str | None, call_key: str) -> DataFrame | None:
         kept = spark.read.schema(f"`{call_key}` string, raw string, call_error string").parquet(path)
         # one answer per prompt even if two runs both stored one
         return kept.dropDuplicates([call_key])
-    except Exception:  # no cache written yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None  # no cache written yet
+
+
+#: Rows of one prompt that are joined to its answer in one part, at least.
+PART_ROWS = 64
+#: A prompt is repeated much if it makes up more than one in so many rows; there
+#: are fewer such prompts than this, which bounds what is broadcast.
+MOST_HOT = 10_000
+
+
+def call_tasks(spark) -> int:
+    """Tasks that analyzer calls are dealt over: all cores busy, whatever the
+    size of the prompts."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _join_answers(rows: DataFrame, calls: DataFrame, call_key: str, key_col: str) -> DataFrame:
+    """Rows with their answers. A prompt that makes up a large part of the rows
+    is joined in parts of its rows, each with a copy of its answer, so it makes
+    no hot task even without adaptive execution."""
+    most = max(PART_ROWS, rows.count() // MOST_HOT)
+    parts = (rows.groupBy(call_key).count().filter(F.col("count") > most)
+             .select(F.col(call_key).alias("__hot"), F.least(F.ceil(F.col("count") / most), F.lit(1024)).cast("int").alias("__parts")))
+    parts = F.broadcast(parts)
+    n = F.coalesce("__parts", F.lit(1))
+    dealt = (rows.join(parts, rows[call_key] == parts["__hot"], "left")
+             .withColumn("__part", F.pmod(F.xxhash64(key_col), n).cast("int")).drop("__hot", "__parts"))
+    copies = (calls.join(parts, calls[call_key] == parts["__hot"], "left")
+              .withColumn("__part", F.explode(F.sequence(F.lit(0), n - 1))).drop("__hot", "__parts"))
+    return dealt.join(copies, [call_key, "__part"], "left_outer").drop("__part")
 
 
 def store_outcomes(store, outcomes: DataFrame, key_col: str = "doc_id") -> DataFrame:
@@ -178,22 +219,37 @@ def store_outcomes(store, outcomes: DataFrame, key_col: str = "doc_id") -> DataF
     return outcomes.join(ids, key_col, "left_outer")
 
 
-def analyze_files(files: DataFrame, analyzer, **kw) -> DataFrame:
-    """Text files through the same flow. ``files`` is a ``binaryFile``
-    frame; unsupported suffixes and paged files without extracted pages come
-    out as failures naming the problem."""
+def analyze_files(files: DataFrame, analyzer, pages: DataFrame | None = None, **kw) -> DataFrame:
+    """Files through the same flow, one row per file. ``files`` is a
+    ``binaryFile`` frame (``read_files``, which can add empty files).
+
+    Text files are decoded here. Paged files take their text from ``pages``
+    (``path, page_no, text``, extracted elsewhere), assembled in page order;
+    without pages they come out as failures, and so do unsupported suffixes.
+    Works on a batch, or on a stream if the analyzer is native.
+    """
     docs = fs.text_documents(files)
-    ok = docs.filter(F.col("error").isNull() & (F.col("kind") == "text"))
-    bad = docs.filter(F.col("error").isNotNull() | (F.col("kind") != "text"))
+    error = F.col("error")
+    if pages is not None:
+        whole = assemble_pages(pages, "path", "page_no").select(F.col("path").alias("__path"), F.col("text").alias("__pages"))
+        docs = docs.join(whole, (docs["path"] == whole["__path"]) & (docs["kind"] == "paged"), "left").withColumn(
+            "text", F.coalesce("text", "__pages"))
+    error = F.coalesce(error, F.when((F.col("kind") != "text") & F.col("text").isNull(), F.lit(MSG_NEEDS_PAGES)))
+    docs = docs.withColumn("error", error)
     res = analyze_texts(
-        ok.select(F.col("path").alias("doc_key"), F.col("path").alias("source_identifier"), "text"),
+        docs.filter(F.col("error").isNull()).select(F.col("path").alias("doc_key"), F.col("path").alias("source_identifier"), "text"),
         analyzer, key_col="doc_key", blank_message=MSG_BLANK_FILE, precleaned=True, **kw,
     )
-    failed = bad.select(
+    failed = docs.filter(F.col("error").isNotNull()).select(
         F.col("path").alias("doc_key"),
         F.col("path").alias("original_file"),
         F.lit(False).alias("success"),
-        F.coalesce(F.col("error"), F.lit(MSG_NEEDS_PAGES)).alias("error"),
+        "error",
     )
     return res.unionByName(failed, allowMissingColumns=True)
 
+
+def analyze_folder(spark, path: str, analyzer, glob: str | None = None, recursive: bool = True,
+                   pages: DataFrame | None = None, **kw) -> DataFrame:
+    """P2 over a folder: every file gives one row, empty ones as blank."""
+    return analyze_files(fs.read_files(spark, path, glob, recursive, include_empty=True), analyzer, pages, **kw)

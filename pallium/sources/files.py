@@ -2,9 +2,9 @@
 inputs, and decoding with a Latin-1 fallback.
 
 Files are read with Spark's ``binaryFile`` source, one file per row, split
-over tasks by the scan. Zero-byte files are not returned by that source, so a
-manifest of requested paths is the only way to report them; ``missing_inputs``
-does that with an anti join.
+over tasks by the scan. Zero-byte files are not returned by that source;
+``read_files`` adds them on request. ``missing_inputs`` reports requested
+paths that were not found, with an anti join.
 """
 
 from __future__ import annotations
@@ -23,12 +23,36 @@ from pallium.functions.text import clean_text, decode_bytes, file_suffix
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def read_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """One row per file ``(path, modificationTime, length, content)``."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+def read_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True,
+               include_empty: bool = False) -> DataFrame:
+    """One row per file ``(path, modificationTime, length, content)``.
+
+    The scan leaves out zero-byte files; ``include_empty`` adds them with
+    empty content (their names are listed on the driver)."""
+    reader = spark.read.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path)
+    files = reader.load(path)
+    return files.unionByName(empty_files(spark, path, glob, recursive)) if include_empty else files
+
+
+def empty_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
+    """The zero-byte files of a folder in the schema of ``read_files``, by the
+    scan's rules: hidden names are left out, ``glob`` applies to names."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    accepts = hadoop.GlobFilter(glob) if glob else None
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, recursive)
+    names = []
+    while listed.hasNext():
+        status = listed.next()
+        if status.getLen() == 0:
+            file = status.getPath()
+            if file.getName()[0] not in "_." and (accepts is None or accepts.accept(file)):
+                names.append((file.toString(), status.getModificationTime() / 1000))
+    made = spark.createDataFrame(names, "path string, seconds double")
+    return made.select("path", F.timestamp_seconds("seconds").alias("modificationTime"), F.lit(0).cast("long").alias("length"),
+                       F.lit(b"").alias("content"))
 
 
 def dispatch(df: DataFrame, name_col: str = "path") -> DataFrame:

@@ -13,6 +13,10 @@ no state store.
   ``<out>/batch_id=<n>`` with overwrite: a batch replayed after a failure
   replaces its own output instead of duplicating it.
 
+The file source passes over zero-byte files, so the stream gives no row for
+them; compare a manifest of landed names with the output (``missing_inputs``),
+or run ``analyze_folder`` over the folder.
+
 Ids (S9) are given later, when landed rows are appended to the result table
 (``ResultStore.append``).
 """
@@ -22,12 +26,10 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pallium.functions.patterns import MSG_BLANK_FILE
-from pallium.plans.flows import MSG_NEEDS_PAGES, NativeAnalyzer, analyze_texts
-from pallium.sources.files import BINARY_FILE_SCHEMA, text_documents
+from pallium.plans.flows import NativeAnalyzer, analyze_files
+from pallium.sources.files import BINARY_FILE_SCHEMA
 
 RESULT_COLUMNS = [
     "doc_key", "original_file", "success", "error", "pii_entities_found", "tokenized_text",
@@ -46,21 +48,8 @@ def landed_files(spark: SparkSession, landing_dir: str, glob: str | None = None,
 
 
 def analyze_file_rows(files: DataFrame, analyzer, **kw) -> DataFrame:
-    """Decoded text files (unsupported ones as failures) through the flow;
-    works on a batch or a streaming frame when the analyzer is native."""
-    docs = text_documents(files)
-    good = docs.filter(F.col("error").isNull() & (F.col("kind") == "text"))
-    res = analyze_texts(
-        good.select(F.col("path").alias("doc_key"), F.col("path").alias("source_identifier"), "text"),
-        analyzer, key_col="doc_key", blank_message=MSG_BLANK_FILE, precleaned=True, **kw,
-    )
-    bad = docs.filter(F.col("error").isNotNull() | (F.col("kind") != "text")).select(
-        F.col("path").alias("doc_key"),
-        F.col("path").alias("original_file"),
-        F.lit(False).alias("success"),
-        F.coalesce(F.col("error"), F.lit(MSG_NEEDS_PAGES)).alias("error"),
-    )
-    return res.unionByName(bad, allowMissingColumns=True).select(*RESULT_COLUMNS)
+    """``analyze_files`` with the columns that the stream writes."""
+    return analyze_files(files, analyzer, **kw).select(*RESULT_COLUMNS)
 
 
 def start_ingest(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint_dir: str, analyzer,
