@@ -215,7 +215,7 @@ def store_outcomes(store, outcomes: DataFrame, key_col: str = "doc_id") -> DataF
             "token_entries"
         ),
     )
-    ids = store.append(ok, order_by=[key_col], key_cols=[key_col]).select(key_col, F.col("id").alias("contract_id"))
+    ids = store.append(ok, key_cols=[key_col]).select(key_col, F.col("id").alias("contract_id"))
     return outcomes.join(ids, key_col, "left_outer")
 
 

@@ -1,9 +1,11 @@
 """Result table and the queries over it.
 
-The stored results are a parquet table. Appends add files to the current
-version and commit as one job (all or nothing). Parquet files cannot delete
-rows, so a delete writes the surviving rows as a new version directory and
-readers use the newest complete version.
+The stored results are a parquet table of parts, each written once by one
+job. A small manifest names the parts of a version and the largest id ever
+given; an append or a delete becomes visible by its manifest alone, so one
+that fails halfway is never seen. Parquet files cannot delete rows: a delete
+rewrites the parts that hold them, and ``purge_versions`` removes what older
+versions still hold.
 
 The query functions take any DataFrame, so they serve the result table and,
 in the registered checks, the driver's tables standing in for it.
@@ -11,7 +13,8 @@ in the registered checks, the driver's tables standing in for it.
 
 from __future__ import annotations
 
-import os
+import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -92,6 +95,27 @@ def assign_ids(df: DataFrame, order_by: list[Column | str], start: int | Column
     )
 
 
+def number_rows(df: DataFrame, start: int, id_col: str = "id") -> tuple[DataFrame, int]:
+    """Unique ids from ``start`` on in the order of the rows' partitions, and
+    how many there are. The rows are pinned once, so the input is read once
+    and not shuffled."""
+    ensure_checkpoint_dir(df.sparkSession)
+    laid = (
+        df.withColumn("__part", F.spark_partition_id())
+        .withColumn("__row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
+        .checkpoint(eager=True)
+    )
+    # One row per partition.
+    counts = sorted(tuple(r) for r in laid.groupBy("__part").count().collect())
+    offsets, total = [], 0
+    for part, n in counts:
+        offsets.append((part, start + total))
+        total += n
+    base = F.broadcast(df.sparkSession.createDataFrame(offsets, "__part int, __base long"))
+    numbered = laid.join(base, "__part").withColumn(id_col, F.col("__base") + F.col("__row"))
+    return numbered.drop("__part", "__row", "__base"), total
+
+
 # Q1-Q6, Q8 -------------------------------------------------------------------
 def get_by_id(df: DataFrame, id_value: int | Column, id_col: str = "id") -> DataFrame:
     """Q1: the row with this id, or nothing. The predicate reaches the parquet
@@ -160,6 +184,18 @@ def detail_view(requested: DataFrame, df: DataFrame, req_col: str, id_col: str =
     ).drop("__hit")
 
 
+def detail_item(hits: DataFrame, id_col: str = "id", file_col: str = "original_file", time_col: str = "created_at",
+                analysis_col: str = "detokenized_response", mapping_col: str = "token_mapping") -> DataFrame:
+    """Q6 as served: id, file, ISO time, detokenized analysis and entity count."""
+    return hits.select(
+        F.col(id_col).alias("id"),
+        F.col(file_col).alias("original_file"),
+        iso_time(time_col).alias("created_at"),
+        F.col(analysis_col).alias("analysis"),
+        F.coalesce(F.size(mapping_col), F.lit(0)).cast("bigint").alias("pii_entities_found"),
+    )
+
+
 def delete_found(requested: DataFrame, df: DataFrame, req_col: str, id_col: str = "id") -> DataFrame:
     """Q7, first half: which requested ids exist (taken before any rewrite)."""
     present = df.select(F.col(id_col).alias("__id")).withColumn("__hit", F.lit(True))
@@ -194,100 +230,142 @@ def export_json(df: DataFrame, path: str) -> None:
 
 # S7, S8, Q7 on a versioned parquet table ----------------------------------------
 class ResultStore:
-    """The stored results: create, append, read, delete.
+    """The stored results: create, append, read, delete, purge.
 
-    Layout: ``<root>/v<k>/`` parquet directories; the newest one holding a
-    ``_SUCCESS`` marker is current. Appends go into the current version;
-    a delete writes ``v<k+1>`` from the surviving rows, so a failed delete
-    leaves the previous version current.
+    Layout: ``<root>/parts/<name>/`` parquet folders and
+    ``<root>/manifests/<version>``, JSON with the parts of that version and the
+    high-water mark of ids. The newest manifest is current. Two writers that
+    publish the same version at once cannot both succeed.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.root = root
+        self.root = root.rstrip("/")
 
-    def _versions(self) -> list[int]:
-        # Listed through Hadoop's file system so any store (local, HDFS,
-        # object store) works.
+    # Listed and written through Hadoop's file system, so any store works.
+    def _hadoop(self, *names: str):
         jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(conf)
-        if not fs.exists(path):
+        path = jvm.org.apache.hadoop.fs.Path("/".join([self.root, *names]))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def versions(self) -> list[int]:
+        fs, folder = self._hadoop("manifests")
+        if not fs.exists(folder):
             return []
-        out = []
-        for st in fs.listStatus(path):
-            name = st.getPath().getName()
-            if name.startswith("v") and name[1:].isdigit():
-                if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                    out.append(int(name[1:]))
-        return sorted(out)
-
-    def current_path(self) -> str | None:
-        v = self._versions()
-        return os.path.join(self.root, f"v{v[-1]}") if v else None
+        names = [f.getPath().getName() for f in fs.listStatus(folder)]
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _manifest(self, version: int | None = None) -> dict:
+        if version is None:
+            versions = self.versions()
+            if not versions:
+                return {"version": -1, "parts": [], "high": 0}
+            version = versions[-1]
+        fs, path = self._hadoop("manifests", str(version))
+        stream = fs.open(path)
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text)
+
+    def _publish(self, old: dict, parts: list[str], high: int) -> None:
+        """Write the next manifest aside and rename it into place."""
+        version = old["version"] + 1
+        content = json.dumps({"version": version, "parts": parts, "high": high})
+        fs, aside = self._hadoop("manifests", f".{version}-{uuid.uuid4().hex}")
+        stream = fs.create(aside, False)
+        stream.write(bytearray(content.encode("utf-8")))
+        stream.close()
+        place = self._hadoop("manifests", str(version))[1]
+        if fs.exists(place) or not fs.rename(aside, place):
+            raise RuntimeError(f"version {version} of {self.root} was published by another writer")
+
+    def _part(self, name: str) -> str:
+        return f"{self.root}/parts/{name}"
+
+    def _write(self, rows: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        rows.select(*[f.name for f in RESULT_SCHEMA.fields]).write.parquet(self._part(name))
+        return name
 
     def high_water(self) -> int:
-        """Largest id ever written, deleted rows included (earlier versions
-        keep them), so a deleted id is never handed out again. Reads only the
-        id column."""
-        paths = [os.path.join(self.root, f"v{v}") for v in self._versions()]
-        if not paths:
-            return 0
-        ids = self.spark.read.schema(RESULT_SCHEMA).parquet(*paths).select("id")
-        return int(ids.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"])
+        """Largest id ever given, deleted rows included, so a deleted id is
+        never handed out again. Kept in the manifest; no rows are read."""
+        return self._manifest()["high"]
 
     def create(self) -> None:
         """Create the table if absent (idempotent)."""
-        if self.current_path() is None:
-            empty = self.spark.createDataFrame([], RESULT_SCHEMA)
-            empty.write.mode("overwrite").parquet(os.path.join(self.root, "v0"))
+        if not self.versions():
+            self._publish(self._manifest(), [], 0)
 
     def register_view(self, name: str = "parsed_results") -> DataFrame:
         """The current version as a temporary view, for SQL such as
         ``SELECT id, original_file FROM parsed_results ORDER BY created_at DESC
-        LIMIT 10``. Re-register after a delete (a new version)."""
+        LIMIT 10``. Re-register after an append or a delete (a new version)."""
         df = self.read()
         df.createOrReplaceTempView(name)
         return df
 
     def read(self) -> DataFrame:
-        path = self.current_path()
-        if path is None:
+        return self._rows(self._manifest()["parts"])
+
+    def _rows(self, parts: list[str]) -> DataFrame:
+        if not parts:
             return self.spark.createDataFrame([], RESULT_SCHEMA)
-        return self.spark.read.schema(RESULT_SCHEMA).parquet(path)
+        return self.spark.read.schema(RESULT_SCHEMA).parquet(*map(self._part, parts))
 
-    def append(self, rows: DataFrame, order_by: list[str] | None = None,
-               key_cols: list[str] | None = None) -> DataFrame:
-        """Append result rows with fresh ids and creation time.
+    def append(self, rows: DataFrame, key_cols: list[str] | None = None) -> DataFrame:
+        """Append result rows with fresh ids and creation time, all or
+        nothing.
 
         Returns ``(key_cols..., id, original_file)`` for the written rows, so
-        callers can hand each input its id. Ids continue after the current
-        maximum (S9) and are fixed before the write, from a layout pinned in
-        the checkpoint folder. The write is one job: its files become visible
-        together when the job commits."""
+        callers can hand each input its id. Ids continue after the high-water
+        mark (S9) and are fixed before the write, from rows pinned once in the
+        checkpoint folder."""
         self.create()
-        max_id = self.high_water()
-        keys = key_cols or []
+        old = self._manifest()
         created = F.col("created_at") if "created_at" in rows.columns else F.lit(None).cast("timestamp_ntz")
         staged = rows.withColumn("created_at", F.coalesce(created, utc_now()))
         if "token_entries" not in staged.columns:
             staged = staged.withColumn("token_entries", F.lit(None).cast(RESULT_SCHEMA["token_entries"].dataType))
-        with_ids = assign_ids(staged, order_by or keys or ["original_file"], start=int(max_id) + 1)
-        with_ids.select(*[f.name for f in RESULT_SCHEMA.fields]).write.mode("append").parquet(self.current_path())
-        return with_ids.select(*keys, "id", "original_file")
+        with_ids, n = number_rows(staged, old["high"] + 1)
+        self._publish(old, [*old["parts"], self._write(with_ids)], old["high"] + n)
+        return with_ids.select(*(key_cols or []), "id", "original_file")
 
     def delete(self, requested: DataFrame, req_col: str) -> DataFrame:
         """Q7: delete rows by id; returns ``(requested id, existed)`` computed
-        before the rewrite."""
-        current = self.read()
+        before the rewrite. Only the parts that hold requested ids are
+        rewritten. Older versions keep the rows until ``purge_versions``."""
+        old = self._manifest()
+        current = self._rows(old["parts"])
         ensure_checkpoint_dir(self.spark)
         # Pinned to the reliable checkpoint folder: the answer must describe
         # the table before the rewrite, even if recomputed later.
         found = delete_found(requested, current, req_col).checkpoint(eager=True)
-        versions = self._versions()
-        nxt = (versions[-1] + 1) if versions else 0
-        without_ids(current, requested, req_col).write.mode("overwrite").parquet(
-            os.path.join(self.root, f"v{nxt}")
-        )
+        touched: set[str] = set()
+        if old["parts"]:
+            names = current.select("id", F.regexp_extract("_metadata.file_path", "/parts/([^/]+)/", 1).alias("part"))
+            hit = names.join(requested.select(F.col(req_col).alias("id")), "id", "left_semi").select("part").distinct()
+            touched = {r["part"] for r in hit.collect()}  # names of parts
+        kept = [p for p in old["parts"] if p not in touched]
+        if touched:
+            kept.append(self._write(without_ids(self._rows(sorted(touched)), requested, req_col)))
+        self._publish(old, kept, old["high"])
         return found
+
+    def purge_versions(self, keep: int = 1) -> None:
+        """Remove all versions but the newest ``keep``, with the parts that
+        only they hold; deleted rows are gone from the disk then. Parts that
+        failed writes left behind go too, so no other writer may be at work."""
+        if keep < 1:
+            raise ValueError("the current version cannot be purged")
+        versions = self.versions()
+        used = {p for v in versions[-keep:] for p in self._manifest(v)["parts"]}
+        fs, folder = self._hadoop("parts")
+        for v in versions[:-keep]:
+            fs.delete(self._hadoop("manifests", str(v))[1], False)
+        if fs.exists(folder):
+            for f in fs.listStatus(folder):
+                if f.getPath().getName() not in used:
+                    fs.delete(f.getPath(), True)
