@@ -149,9 +149,7 @@ def analyze_texts(
     return parsed.select(
         key_col,
         "original_file",
-        ok.alias("success"),
-        error.alias("error"),
-        F.when(ok, cz.entity_count(mapping)).alias("pii_entities_found"),
+        *an.outcome_envelope(error, cz.entity_count(mapping)),
         F.when(ok, F.col("tokenized_text")).alias("tokenized_text"),
         F.when(ok, F.col("entries")).alias("entries"),
         F.when(ok, mapping).alias("token_mapping"),

@@ -80,17 +80,18 @@ def q_list_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Q6: requested ids (customer keys scaled) against orders -------------------------
 @query(
     "detail_view",
-    f"""SELECT r.req_id, o.o_orderkey IS NOT NULL AS found, o.o_totalprice,
-       CASE WHEN o.o_orderkey IS NOT NULL THEN {_ISO_ORDERDATE} END AS created_at
+    f"""SELECT r.req_id, o.o_orderkey IS NOT NULL AS found, coalesce(o.o_orderkey, -1) AS id, o.o_orderpriority AS original_file,
+       CASE WHEN o.o_orderkey IS NOT NULL THEN {_ISO_ORDERDATE} END AS created_at, o.o_orderstatus AS analysis,
+       CAST(CASE WHEN o.o_custkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS pii_entities_found
 FROM (SELECT c_custkey * 11 AS req_id FROM customer) r LEFT JOIN orders o ON r.req_id = o.o_orderkey""",
 )
 def q_detail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     req = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 11).alias("req_id"))
-    d = st.detail_view(req, _orders(spark, sf_dir), "req_id", "o_orderkey")
-    return d.select(
-        "req_id", "found", "o_totalprice",
-        F.when(F.col("found"), st.iso_time("o_orderdate")).alias("created_at"),
-    )
+    held = F.when(F.col("o_custkey") % 2 == 0, F.create_map(F.lit("[PII_PERSON_1]"), F.lit("x")))
+    orders = _orders(spark, sf_dir).withColumn("mapping", held)
+    # A miss gets id -1, so that the column has no nulls to compare.
+    d = st.detail_view(req, orders, "req_id", "o_orderkey").withColumn("o_orderkey", F.coalesce("o_orderkey", F.lit(-1)))
+    return d.select("req_id", "found", *st.detail_item("o_orderkey", "o_orderpriority", "o_orderdate", "o_orderstatus", "mapping"))
 
 
 # Q7: delete the orders whose key is a customer key times 7 ------------------------

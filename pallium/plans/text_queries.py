@@ -106,9 +106,9 @@ _BLANKED_SQL = "CASE WHEN doc_id % 11 = 0 THEN ' ' || chr(10) || ' ' ELSE text E
 )
 def q_blank_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.when(F.col("doc_id") % 11 == 0, F.lit(" \n ")).otherwise(F.col("text"))
-    d = _docs(spark, sf_dir).select("doc_id", tx.clean_text(t).alias("t"))
-    blank = F.col("t") == F.lit("")
-    return d.select("doc_id", blank.alias("is_blank"), F.when(blank, F.lit(MSG_BLANK_TEXT)).alias("error"))
+    d = _docs(spark, sf_dir).select("doc_id", tx.is_blank(t).alias("is_blank"))
+    blank = F.col("is_blank")
+    return d.select("doc_id", "is_blank", F.when(blank, F.lit(MSG_BLANK_TEXT)).alias("error"))
 
 
 # C7 -------------------------------------------------------------------------

@@ -184,16 +184,16 @@ def detail_view(requested: DataFrame, df: DataFrame, req_col: str, id_col: str =
     ).drop("__hit")
 
 
-def detail_item(hits: DataFrame, id_col: str = "id", file_col: str = "original_file", time_col: str = "created_at",
-                analysis_col: str = "detokenized_response", mapping_col: str = "token_mapping") -> DataFrame:
+def detail_item(id_col: str = "id", file_col: str = "original_file", time_col: str = "created_at",
+                analysis_col: str = "detokenized_response", mapping_col: str = "token_mapping") -> list[Column]:
     """Q6 as served: id, file, ISO time, detokenized analysis and entity count."""
-    return hits.select(
+    return [
         F.col(id_col).alias("id"),
         F.col(file_col).alias("original_file"),
         iso_time(time_col).alias("created_at"),
         F.col(analysis_col).alias("analysis"),
         F.coalesce(F.size(mapping_col), F.lit(0)).cast("bigint").alias("pii_entities_found"),
-    )
+    ]
 
 
 def delete_found(requested: DataFrame, df: DataFrame, req_col: str, id_col: str = "id") -> DataFrame:
