@@ -50,6 +50,13 @@ def column_of(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches in smaller ones, for work that copies a batch's values."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, rows):
+            yield batch.slice(s, rows)
+
+
 def packed(values: np.ndarray, kind: str) -> bytes:
     """Little-endian bytes of an array, for a binary column."""
     return np.ascontiguousarray(values, dtype=kind).tobytes()

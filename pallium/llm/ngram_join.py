@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pallium.llm.common import column_of, cut, packed, streamed_groups
+from pallium.llm.common import column_of, cut, packed, slices, streamed_groups
 from pallium.llm.components import connected_components
 
 WORDS = 5
@@ -45,12 +45,12 @@ PERCENT = 75
 #: The values of l that a document chooses from.
 MATCHES = (1, 2, 4, 8, 16)
 #: Part of the hash space whose shingles are ordered by frequency.
-COUNTED = 0.32
+COUNTED = 0.45
 #: Cost of verifying a candidate, per shingle, in list entries read.
 VERIFY_COST = 0.05
 #: Shingles of a chunk of documents, of a bucket of the hash space, entries of
 #: a block of a long list, followers in a part.
-CHUNK, BUCKET, BLOCK, PART = 1 << 20, 1 << 20, 256, 256
+CHUNK, BUCKET, BLOCK, PART = 1 << 18, 1 << 18, 256, 256
 #: Pairs up to this many are joined to the texts by broadcast, more by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Rounds in which documents are verified against leaders before all pairs are:
@@ -312,7 +312,7 @@ def _all_pairs(entries: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         made, last = [], None
         for text in batch.column(batch.schema.get_field_index("text")):
             text = text.as_py()
@@ -326,7 +326,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Leaders (follows = 0) come before their followers, which stream past."""
     block, leads = None, []
-    for batch in batches:
+    for batch in slices(batches):
         found = []
         for a, part, follows, b, data in zip(*(column_of(batch, c) for c in ("a", "part", "follows", "b", "set")), strict=True):
             s = np.frombuffer(data, "<u8")
