@@ -2,7 +2,8 @@
 
 A page becomes a flat list of text blocks. Each block is described by its word
 count and link density, those of the blocks before and after it, and where it
-stands (in the article, in a part that is named as boilerplate, a heading).
+stands (in the article, in an element of boilerplate, in a part with a name of
+boilerplate and how much of the page that part holds, a heading).
 A decision tree, trained here on the small labelled table below, keeps or
 drops it. Parsing is one pass over the page's tags, in linear time.
 """
@@ -39,18 +40,22 @@ BLOCKS = NESTING | HEADINGS | {"center", "hr", "legend", "p", "pre"}
 #: Elements without text of the page; what stands in them is skipped.
 SKIPPED = {"audio", "button", "canvas", "iframe", "math", "noscript", "object", "option", "script", "select", "style", "svg",
            "template", "textarea", "title", "video"}
-#: Boilerplate by element, and by the words of class, id or role.
+#: Boilerplate by element or role; words of class or id that hint at it, which the tree weighs.
 BOILERPLATE = {"aside", "dialog", "footer", "form", "header", "menu", "nav"}
+ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "menu", "navigation", "search", "toolbar"}
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs byline complementary consent contentinfo cookie "
     "cookies copyright dialog footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices "
     "pagination popup promo promotion recommended related search share sharing sidebar signup social sponsor sponsored "
     "subscribe toolbar widget".split())
+#: Comments of readers, if they are a whole name (but for numbers); in a longer name, a hint.
 COMMENT_WORDS = frozenset("comment commentlist comments disqus replies reply respond".split())
 #: Elements that hold the page or its article, whatever their class says.
 HOLDERS = {"html", "body", "main", "article"}
 #: Kinds of boilerplate: a header of the article, whose headings are main text; any other.
 TITLE, DROPPED = 1, 2
+#: An article with this share of the page's unlinked words is one, whatever the names around it.
+ARTICLE_SHARE = 0.2
 
 
 @dataclass
@@ -61,12 +66,41 @@ class Block:
     article: bool
     boilerplate: int
     heading: bool
+    part: int
+    named: bool = False
+    share: float = 1.0
+
+    @property
+    def dropped(self) -> bool:
+        return self.boilerplate == DROPPED or self.boilerplate == TITLE and not self.heading
+
+
+@dataclass
+class Entry:
+    """An open element: whether in the article, kind of boilerplate, innermost
+    part with a name of boilerplate (-1: none), the same for headings."""
+
+    name: str = ""
+    article: bool = False
+    boilerplate: int = 0
+    part: int = -1
+    heading_part: int = -1
+
+
+@dataclass
+class Part:
+    """A part with a name of boilerplate, or an article in one."""
+
+    parent: int
+    article: bool
+    words: int = 0
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order; white space within is one space."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # element, in the article, kind of boilerplate
+    stack: list[Entry] = []
+    parts: list[Part] = []
     depth: Counter[str] = Counter()
     text: list[tuple[str, bool]] = []
     anchors = heading = False
@@ -82,8 +116,9 @@ def blocks_of(page: str) -> list[Block]:
         whole = " ".join(html.unescape("".join(t for t, _ in text)).split())
         if whole:
             linked = sum(len(html.unescape(t).split()) for t, a in text if a)
-            _, article, boilerplate = stack[-1] if stack else ("", False, 0)
-            blocks.append(Block(whole, whole.count(" ") + 1, linked, article, boilerplate, heading))
+            in_ = stack[-1] if stack else Entry()
+            blocks.append(Block(whole, whole.count(" ") + 1, linked, in_.article, in_.boilerplate, heading,
+                                in_.heading_part if heading else in_.part))
         text = []
 
     while at < end:
@@ -114,59 +149,105 @@ def blocks_of(page: str) -> list[Block]:
             if name in NESTING or name in BOILERPLATE:
                 anchors = False
                 if not closing:
-                    stack.append(_entered(name, rest, stack[-1] if stack else ("", False, 0)))
+                    stack.append(_entered(name, rest, stack[-1] if stack else Entry(), parts))
                     depth[name] += 1
                 elif depth[name]:
                     while True:
-                        left = stack.pop()[0]
+                        left = stack.pop().name
                         depth[left] -= 1
                         if left == name:
                             break
     text.append((tail, anchors))
     flush()
+    _weigh(blocks, parts)
     return blocks
 
 
-def _entered(name: str, rest: str, outer: tuple[str, bool, int]) -> tuple[str, bool, int]:
-    words = set()
+def _entered(name: str, rest: str, outer: Entry, parts: list[Part]) -> Entry:
+    roles, words, comments = set(), set(), False
     for m in _NAMED.finditer(rest):
-        words.update(_PARTS.findall((m.group(2) or m.group(3) or m.group(4) or "").lower()))
-    named = words & BOILERPLATE_WORDS if name not in HOLDERS else set()
-    if name in BOILERPLATE:
-        named = named | {name}
-    if name not in ("html", "body"):
-        named = named | words & COMMENT_WORDS
-    level = 0 if not named and not _HIDDEN.search(rest) else TITLE if named == {"header"} and outer[1] else DROPPED
-    return name, outer[1] or name in ("article", "main") or "main" in words and name != "body", max(level, outer[2])
-
-
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "place", "boilerplate", "heading")
+        value = (m.group(2) or m.group(3) or m.group(4) or "").lower()
+        if m.group(1).lower() == "role":
+            roles.update(value.split())
+        for one in value.split():
+            found = _PARTS.findall(one)
+            words.update(found)
+            whole = [w for w in found if not w.isdigit()]
+            comments = comments or len(whole) == 1 and whole[0] in COMMENT_WORDS
+    level = 0
+    if (name in BOILERPLATE or name not in HOLDERS and roles & ROLES or comments and name not in ("html", "body")
+            or _HIDDEN.search(rest)):
+        level = TITLE if name == "header" and outer.article and not comments and not _HIDDEN.search(rest) else DROPPED
+    part, heading_part = outer.part, outer.heading_part
+    hints = words & (BOILERPLATE_WORDS | COMMENT_WORDS) if name not in HOLDERS else set()
+    if hints or name in ("article", "main") and part >= 0:
+        parts.append(Part(part, not hints))
+        part = len(parts) - 1
+        if hints != {"header"} or not outer.article:
+            heading_part = part
+    return Entry(name, outer.article or name in ("article", "main") or "main" in words and name != "body",
+                 max(level, outer.boilerplate), part, heading_part)
+
+
+def _weigh(blocks: list[Block], parts: list[Part]) -> None:
+    """Whether each block is in a named part, and the share of the page's
+    unlinked words which that part holds."""
+    page = 0
+    for b in blocks:
+        if not b.dropped:
+            page += b.words - b.linked
+            if b.part >= 0:
+                parts[b.part].words += b.words - b.linked
+    for p in reversed(parts):
+        if p.parent >= 0:
+            parts[p.parent].words += p.words
+    weighed: list[tuple[bool, float]] = []
+    for p in parts:
+        share = p.words / page if page else 1.0
+        if p.article:
+            weighed.append((False, 1.0) if share >= ARTICLE_SHARE else weighed[p.parent])
+        else:
+            weighed.append((True, share))
+    for b in blocks:
+        if b.part >= 0:
+            b.named, b.share = weighed[b.part]
+
+
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "place", "boilerplate", "heading",
+            "share")
 
 
 def features(blocks: list[Block]) -> np.ndarray:
     """A row per block. ``place``: 1 in the article, -1 outside it, 0 if the
-    page marks none."""
+    page marks none. ``boilerplate``: 2 in such an element, 1 in a part with
+    such a name, which has ``share`` of the page's unlinked words."""
     marked = any(b.article and not b.boilerplate for b in blocks)
     own = [(b.words, b.linked / b.words if b.words else 0.0) for b in blocks]
     rows = []
     for i, b in enumerate(blocks):
         before, after = own[i - 1] if i else (0, 0.0), own[i + 1] if i + 1 < len(own) else (0, 0.0)
-        boilerplate = b.boilerplate == DROPPED or b.boilerplate == TITLE and not b.heading
-        rows.append([*own[i], *before, *after, (1 if b.article else -1) if marked else 0, boilerplate, b.heading])
+        rows.append([*own[i], *before, *after, (1 if b.article else -1) if marked else 0, 2 if b.dropped else int(b.named), b.heading,
+                     b.share])
     return np.array(rows, dtype=float).reshape(-1, len(FEATURES))
 
 
 ANY_SIZE, SHORT, LONG = (1, 12, 150), (1, 4, 12), (16, 40, 150)
+NOTICE, PROSE = (1, 12, 40), (60, 150)
 EDGE, SOME, NONE = (0, 2, 40), (0.0, 0.7, 1.0), (0.0,)
 # The labelled parts of pages, made by hand: what the part is; its words and
 # link densities; words before, words after and density of the neighbours;
-# place, boilerplate, heading; 1 for main text.
+# place, boilerplate, heading; 1 for main text. A part without a name of
+# boilerplate is labelled the same with one that holds most of the page.
 PARTS = (
     ("paragraph of an article", ANY_SIZE, (0.0, 0.3), EDGE, EDGE, NONE, (1,), 0, 0, 1),
     ("title of an article", SHORT, (0.0, 1.0), EDGE, EDGE, NONE, (1,), 0, 1, 1),
     ("line of an article that is a link", SHORT, (1.0,), EDGE, EDGE, NONE, (1,), 0, 0, 1),
-    ("named boilerplate", ANY_SIZE, (0.0, 1.0), EDGE, (2, 40), (0.0, 1.0), (-1, 0, 1), 1, 0, 0),
-    ("heading of boilerplate", SHORT, NONE, EDGE, (2, 40), NONE, (-1, 0, 1), 1, 1, 0),
+    ("element of boilerplate", ANY_SIZE, (0.0, 1.0), EDGE, (2, 40), (0.0, 1.0), (-1, 0, 1), 2, 0, 0),
+    ("heading of an element of boilerplate", SHORT, NONE, EDGE, (2, 40), NONE, (-1, 0, 1), 2, 1, 0),
+    ("notice, label or line of a small named part", NOTICE, (0.0, 1.0), EDGE, (2, 40), (0.0, 1.0), (-1, 0, 1), 1, 0, 0),
+    ("heading of a small named part", SHORT, (0.0, 1.0), EDGE, (2, 40), NONE, (-1, 0, 1), 1, 1, 0),
+    ("links of a small named part", PROSE, (0.7, 1.0), EDGE, (2, 40), (0.0, 1.0), (-1, 0, 1), 1, 0, 0),
+    ("prose of a small named part", PROSE, (0.0, 0.2), EDGE, EDGE, SOME, (0, 1), 1, 0, 1),
     ("outside of the article", ANY_SIZE, (0.0, 1.0), EDGE, (2, 40), (0.0, 1.0), (-1,), 0, 0, 0),
     ("paragraph of an unmarked page", LONG, (0.0, 0.2), EDGE, EDGE, SOME, (0,), 0, 0, 1),
     ("short line between paragraphs", SHORT, (0.0, 0.2), (20, 60), (20, 60), NONE, (0,), 0, 0, 1),
@@ -176,11 +257,13 @@ PARTS = (
     ("label among menus", SHORT, NONE, (0, 2), EDGE, SOME, (0,), 0, 0, 0),
     ("heading of a menu", SHORT, NONE, EDGE, (0, 2), SOME, (0,), 0, 1, 0),
 )
+#: Boilerplate and share: of its elements; of named parts, small; of parts without such a name, and named ones that hold most.
+SHARES = {2: ((2, 0.0), (2, 1.0)), 1: ((1, 0.0), (1, 0.1), (1, 0.4)), 0: ((0, 1.0), (1, 0.6), (1, 1.0))}
 LABELLED = np.array([
-    [words, density, before, linked, after, linked, place, boilerplate, heading, label]
+    [words, density, before, linked, after, linked, place, named, heading, share, label]
     for _, sizes, densities, befores, afters, links, places, boilerplate, heading, label in PARTS
     for words in sizes for density in densities for before in befores for after in afters for linked in links
-    for place in places
+    for place in places for named, share in SHARES[boilerplate]
 ], dtype=float)
 
 
