@@ -27,8 +27,8 @@ from pallium.llm.common import column_of
 _TAG = re.compile(
     r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,4096}"|'[^']{0,4096}')*+|[^>]*)>|[!?/][^>]*>)""", re.S)
 _UNFINISHED = re.compile("<[a-zA-Z/!?]")
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _PARTS = re.compile("[0-9a-z]+")
 
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -163,21 +163,28 @@ def blocks_of(page: str) -> list[Block]:
     return blocks
 
 
+def _attributes(rest: str) -> dict[str, str]:
+    """Values by lower-case name; of a repeated name the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(rest):
+        found.setdefault(m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or "")
+    return found
+
+
 def _entered(name: str, rest: str, outer: Entry, parts: list[Part]) -> Entry:
-    roles, words, comments = set(), set(), False
-    for m in _NAMED.finditer(rest):
-        value = (m.group(2) or m.group(3) or m.group(4) or "").lower()
-        if m.group(1).lower() == "role":
-            roles.update(value.split())
-        for one in value.split():
+    attributes = _attributes(rest)
+    roles, words, comments = set(attributes.get("role", "").lower().split()), set(), False
+    for kind in ("class", "id", "role"):
+        for one in attributes.get(kind, "").lower().split():
             found = _PARTS.findall(one)
             words.update(found)
             whole = [w for w in found if not w.isdigit()]
             comments = comments or len(whole) == 1 and whole[0] in COMMENT_WORDS
+    hidden = ("hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true"
+              or _NOT_SHOWN.search(attributes.get("style", "")) is not None)
     level = 0
-    if (name in BOILERPLATE or name not in HOLDERS and roles & ROLES or comments and name not in ("html", "body")
-            or _HIDDEN.search(rest)):
-        level = TITLE if name == "header" and outer.article and not comments and not _HIDDEN.search(rest) else DROPPED
+    if name in BOILERPLATE or name not in HOLDERS and roles & ROLES or comments and name not in ("html", "body") or hidden:
+        level = TITLE if name == "header" and outer.article and not comments and not hidden else DROPPED
     part, heading_part = outer.part, outer.heading_part
     hints = words & (BOILERPLATE_WORDS | COMMENT_WORDS) if name not in HOLDERS else set()
     if hints or name in ("article", "main") and part >= 0:
