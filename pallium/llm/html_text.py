@@ -2,8 +2,9 @@
 
 A page becomes a flat list of text blocks. Each block is described by its word
 count and link density, those of the blocks before and after it, and where it
-stands (in the article, in an element of boilerplate, in a part with a name of
-boilerplate and how much of the page that part holds, a heading).
+stands (in the article and how much of the page the article holds, in an
+element of boilerplate, in a part with a name of boilerplate and how much of
+the page that part holds, a heading).
 A decision tree, trained here on the small labelled table below, keeps or
 drops it. Parsing is one pass over the page's tags, in linear time.
 """
@@ -52,10 +53,14 @@ BOILERPLATE_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment commentlist comments disqus replies reply respond".split())
 #: Elements that hold the page or its article, whatever their class says.
 HOLDERS = {"html", "body", "main", "article"}
+#: Besides <article>, <main> and role=main, these whole names mark the article.
+MAIN_NAMES = {"main", "main-content", "main_content", "maincontent"}
 #: Kinds of boilerplate: a header of the article, whose headings are main text; any other.
 TITLE, DROPPED = 1, 2
 #: An article with this share of the page's unlinked words is one, whatever the names around it.
 ARTICLE_SHARE = 0.2
+#: Named parts and marks weigh fully from this share on; small linked articles beside a weak mark are cards.
+MOST, CARD_LINKS = 0.5, 0.1
 
 
 @dataclass
@@ -63,12 +68,14 @@ class Block:
     text: str
     words: int
     linked: int
-    article: bool
+    region: int
     boilerplate: int
     heading: bool
     part: int
     named: bool = False
     share: float = 1.0
+    place: int = 0
+    mark: float = 0.0
 
     @property
     def dropped(self) -> bool:
@@ -77,11 +84,12 @@ class Block:
 
 @dataclass
 class Entry:
-    """An open element: whether in the article, kind of boilerplate, innermost
-    part with a name of boilerplate (-1: none), the same for headings."""
+    """An open element: outermost marked region (-1: none), kind of
+    boilerplate, innermost part with a name of boilerplate (-1: none), the
+    same for headings."""
 
     name: str = ""
-    article: bool = False
+    region: int = -1
     boilerplate: int = 0
     part: int = -1
     heading_part: int = -1
@@ -101,6 +109,7 @@ def blocks_of(page: str) -> list[Block]:
     blocks: list[Block] = []
     stack: list[Entry] = []
     parts: list[Part] = []
+    regions = 0
     depth: Counter[str] = Counter()
     text: list[tuple[str, bool]] = []
     anchors = heading = False
@@ -117,7 +126,7 @@ def blocks_of(page: str) -> list[Block]:
         if whole:
             linked = sum(len(html.unescape(t).split()) for t, a in text if a)
             in_ = stack[-1] if stack else Entry()
-            blocks.append(Block(whole, whole.count(" ") + 1, linked, in_.article, in_.boilerplate, heading,
+            blocks.append(Block(whole, whole.count(" ") + 1, linked, in_.region, in_.boilerplate, heading,
                                 in_.heading_part if heading else in_.part))
         text = []
 
@@ -149,7 +158,8 @@ def blocks_of(page: str) -> list[Block]:
             if name in NESTING or name in BOILERPLATE:
                 anchors = False
                 if not closing:
-                    stack.append(_entered(name, rest, stack[-1] if stack else Entry(), parts))
+                    stack.append(_entered(name, rest, stack[-1] if stack else Entry(), parts, regions))
+                    regions = max(regions, stack[-1].region + 1)
                     depth[name] += 1
                 elif depth[name]:
                     while True:
@@ -160,6 +170,7 @@ def blocks_of(page: str) -> list[Block]:
     text.append((tail, anchors))
     flush()
     _weigh(blocks, parts)
+    _mark(blocks, regions)
     return blocks
 
 
@@ -171,29 +182,31 @@ def _attributes(rest: str) -> dict[str, str]:
     return found
 
 
-def _entered(name: str, rest: str, outer: Entry, parts: list[Part]) -> Entry:
+def _entered(name: str, rest: str, outer: Entry, parts: list[Part], regions: int) -> Entry:
     attributes = _attributes(rest)
     roles, words, comments = set(attributes.get("role", "").lower().split()), set(), False
+    main = name in ("article", "main") or "main" in roles
     for kind in ("class", "id", "role"):
         for one in attributes.get(kind, "").lower().split():
             found = _PARTS.findall(one)
             words.update(found)
+            main = main or one in MAIN_NAMES
             whole = [w for w in found if not w.isdigit()]
             comments = comments or len(whole) == 1 and whole[0] in COMMENT_WORDS
     hidden = ("hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true"
               or _NOT_SHOWN.search(attributes.get("style", "")) is not None)
     level = 0
     if name in BOILERPLATE or name not in HOLDERS and roles & ROLES or comments and name not in ("html", "body") or hidden:
-        level = TITLE if name == "header" and outer.article and not comments and not hidden else DROPPED
+        level = TITLE if name == "header" and outer.region >= 0 and not comments and not hidden else DROPPED
     part, heading_part = outer.part, outer.heading_part
     hints = words & (BOILERPLATE_WORDS | COMMENT_WORDS) if name not in HOLDERS else set()
     if hints or name in ("article", "main") and part >= 0:
         parts.append(Part(part, not hints))
         part = len(parts) - 1
-        if hints != {"header"} or not outer.article:
+        if hints != {"header"} or outer.region < 0:
             heading_part = part
-    return Entry(name, outer.article or name in ("article", "main") or "main" in words and name != "body",
-                 max(level, outer.boilerplate), part, heading_part)
+    region = regions if main and outer.region < 0 and name not in ("html", "body") else outer.region
+    return Entry(name, region, max(level, outer.boilerplate), part, heading_part)
 
 
 def _weigh(blocks: list[Block], parts: list[Part]) -> None:
@@ -220,57 +233,83 @@ def _weigh(blocks: list[Block], parts: list[Part]) -> None:
             b.named, b.share = weighed[b.part]
 
 
+def _mark(blocks: list[Block], regions: int) -> None:
+    """Place of each block: 1 in the article, -1 outside it, 0 if the page marks
+    none; and the share of the page's unlinked words which the marked regions
+    hold. If they hold the lesser part, a small one is not the article."""
+    if not any(b.region >= 0 and not b.boilerplate for b in blocks):
+        return
+    own, linked, page = [0] * regions, [0] * regions, 0
+    for b in blocks:
+        if not b.dropped and not (b.named and b.share < MOST):
+            page += b.words - b.linked
+            if b.region >= 0:
+                own[b.region] += b.words - b.linked
+                linked[b.region] += b.linked
+    mark = sum(own) / page if page else 1.0
+    for b in blocks:
+        b.mark, b.place = mark, 1 if b.region >= 0 else -1
+        if b.region >= 0 and mark < MOST and own[b.region] < ARTICLE_SHARE * page:
+            b.place = -1
+            if not b.named and linked[b.region] > CARD_LINKS * (own[b.region] + linked[b.region]):
+                b.named, b.share = True, own[b.region] / page
+
+
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "place", "boilerplate", "heading",
-            "share")
+            "share", "mark")
 
 
 def features(blocks: list[Block]) -> np.ndarray:
     """A row per block. ``place``: 1 in the article, -1 outside it, 0 if the
-    page marks none. ``boilerplate``: 2 in such an element, 1 in a part with
-    such a name, which has ``share`` of the page's unlinked words."""
-    marked = any(b.article and not b.boilerplate for b in blocks)
+    page marks none; the marked regions have ``mark`` of the page's unlinked
+    words. ``boilerplate``: 2 in such an element, 1 in a part with such a name
+    or a card, which has ``share`` of them."""
     own = [(b.words, b.linked / b.words if b.words else 0.0) for b in blocks]
     rows = []
     for i, b in enumerate(blocks):
         before, after = own[i - 1] if i else (0, 0.0), own[i + 1] if i + 1 < len(own) else (0, 0.0)
-        rows.append([*own[i], *before, *after, (1 if b.article else -1) if marked else 0, 2 if b.dropped else int(b.named), b.heading,
-                     b.share])
+        rows.append([*own[i], *before, *after, b.place, 2 if b.dropped else int(b.named), b.heading, b.share, b.mark])
     return np.array(rows, dtype=float).reshape(-1, len(FEATURES))
 
 
-ANY_SIZE, SHORT, LONG = (1, 12, 150), (1, 4, 12), (16, 40, 150)
-NOTICE, PROSE = (1, 12, 40), (60, 150)
+ANY_SIZE, SHORT, LONG = (1, 4, 12, 16, 40, 60, 150), (1, 4, 12), (16, 40, 150)
+NOTICE, PROSE = (1, 4, 12, 16, 40), (60, 150)
+ANY_DENSITY, ENDS = (0.0, 0.2, 0.7, 1.0), (0.0, 1.0)
 EDGE, SOME, NONE = (0, 2, 40), (0.0, 0.7, 1.0), (0.0,)
+#: Place and mark: in the article, on a page that marks none, outside of an article that holds most, beside a weak mark.
+IN, UNMARKED, OUTSIDE, BESIDE = ((1, 0.1), (1, 1.0)), ((0, 0.0),), ((-1, 0.6), (-1, 1.0)), ((-1, 0.0), (-1, 0.1), (-1, 0.4))
+FREE, ANYWHERE = UNMARKED + BESIDE, IN + UNMARKED + OUTSIDE + BESIDE
 # The labelled parts of pages, made by hand: what the part is; its words and
 # link densities; words before, words after and density of the neighbours;
 # place, boilerplate, heading; 1 for main text. A part without a name of
 # boilerplate is labelled the same with one that holds most of the page.
 PARTS = (
-    ("paragraph of an article", ANY_SIZE, (0.0, 0.3), EDGE, EDGE, NONE, (1,), 0, 0, 1),
-    ("title of an article", SHORT, (0.0, 1.0), EDGE, EDGE, NONE, (1,), 0, 1, 1),
-    ("line of an article that is a link", SHORT, (1.0,), EDGE, EDGE, NONE, (1,), 0, 0, 1),
-    ("element of boilerplate", ANY_SIZE, (0.0, 1.0), EDGE, (2, 40), (0.0, 1.0), (-1, 0, 1), 2, 0, 0),
-    ("heading of an element of boilerplate", SHORT, NONE, EDGE, (2, 40), NONE, (-1, 0, 1), 2, 1, 0),
-    ("notice, label or line of a small named part", NOTICE, (0.0, 1.0), EDGE, (2, 40), (0.0, 1.0), (-1, 0, 1), 1, 0, 0),
-    ("heading of a small named part", SHORT, (0.0, 1.0), EDGE, (2, 40), NONE, (-1, 0, 1), 1, 1, 0),
-    ("links of a small named part", PROSE, (0.7, 1.0), EDGE, (2, 40), (0.0, 1.0), (-1, 0, 1), 1, 0, 0),
-    ("prose of a small named part", PROSE, (0.0, 0.2), EDGE, EDGE, SOME, (0, 1), 1, 0, 1),
-    ("outside of the article", ANY_SIZE, (0.0, 1.0), EDGE, (2, 40), (0.0, 1.0), (-1,), 0, 0, 0),
-    ("paragraph of an unmarked page", LONG, (0.0, 0.2), EDGE, EDGE, SOME, (0,), 0, 0, 1),
-    ("short line between paragraphs", SHORT, (0.0, 0.2), (20, 60), (20, 60), NONE, (0,), 0, 0, 1),
-    ("heading before a paragraph", SHORT, NONE, EDGE, (20, 60), SOME, (0,), 0, 1, 1),
-    ("menu of an unmarked page", SHORT, (0.7, 1.0), EDGE, EDGE, SOME, (0,), 0, 0, 0),
-    ("list of teasers", LONG, (0.7, 1.0), EDGE, EDGE, SOME, (0,), 0, 0, 0),
-    ("label among menus", SHORT, NONE, (0, 2), EDGE, SOME, (0,), 0, 0, 0),
-    ("heading of a menu", SHORT, NONE, EDGE, (0, 2), SOME, (0,), 0, 1, 0),
+    ("paragraph or line of an article", ANY_SIZE, ANY_DENSITY, EDGE, EDGE, ENDS, IN, 0, 0, 1),
+    ("title of an article", SHORT, ANY_DENSITY, EDGE, EDGE, ENDS, IN, 0, 1, 1),
+    ("element of boilerplate", ANY_SIZE, ANY_DENSITY, EDGE, EDGE, ENDS, ANYWHERE, 2, 0, 0),
+    ("heading of an element of boilerplate", SHORT, ANY_DENSITY, EDGE, EDGE, ENDS, ANYWHERE, 2, 1, 0),
+    ("notice, label or line of a small named part", NOTICE, ANY_DENSITY, EDGE, EDGE, ENDS, ANYWHERE, 1, 0, 0),
+    ("heading of a small named part", SHORT, ANY_DENSITY, EDGE, EDGE, ENDS, ANYWHERE, 1, 1, 0),
+    ("links of a small named part", PROSE, (0.7, 1.0), EDGE, EDGE, ENDS, ANYWHERE, 1, 0, 0),
+    ("prose of a small named part", PROSE, (0.0, 0.2), EDGE, EDGE, ENDS, IN + FREE, 1, 0, 1),
+    ("prose of a small named part outside of the article", PROSE, (0.0, 0.2), EDGE, EDGE, ENDS, OUTSIDE, 1, 0, 0),
+    ("outside of the article", ANY_SIZE, ANY_DENSITY, EDGE, EDGE, ENDS, OUTSIDE, 0, 0, 0),
+    ("heading outside of the article", SHORT, ANY_DENSITY, EDGE, EDGE, ENDS, OUTSIDE, 0, 1, 0),
+    ("paragraph of an unmarked page or beside a weak mark", LONG, (0.0, 0.2), EDGE, EDGE, SOME, FREE, 0, 0, 1),
+    ("short line between paragraphs", SHORT, (0.0, 0.2), (20, 60), (20, 60), NONE, FREE, 0, 0, 1),
+    ("heading before a paragraph", SHORT, NONE, EDGE, (20, 60), SOME, FREE, 0, 1, 1),
+    ("menu of an unmarked page", SHORT, (0.7, 1.0), EDGE, EDGE, SOME, FREE, 0, 0, 0),
+    ("list of teasers", LONG, (0.7, 1.0), EDGE, EDGE, SOME, FREE, 0, 0, 0),
+    ("label among menus", SHORT, NONE, (0, 2), EDGE, SOME, FREE, 0, 0, 0),
+    ("heading of a menu", SHORT, NONE, EDGE, (0, 2), SOME, FREE, 0, 1, 0),
 )
 #: Boilerplate and share: of its elements; of named parts, small; of parts without such a name, and named ones that hold most.
 SHARES = {2: ((2, 0.0), (2, 1.0)), 1: ((1, 0.0), (1, 0.1), (1, 0.4)), 0: ((0, 1.0), (1, 0.6), (1, 1.0))}
 LABELLED = np.array([
-    [words, density, before, linked, after, linked, place, named, heading, share, label]
+    [words, density, before, linked, after, linked, place, named, heading, share, mark, label]
     for _, sizes, densities, befores, afters, links, places, boilerplate, heading, label in PARTS
     for words in sizes for density in densities for before in befores for after in afters for linked in links
-    for place in places for named, share in SHARES[boilerplate]
+    for place, mark in places for named, share in SHARES[boilerplate]
 ], dtype=float)
 
 
