@@ -6,7 +6,7 @@ stands (in the article and how much of the page the article holds, in an
 element of boilerplate, in a part with a name of boilerplate and how much of
 the page that part holds, a heading).
 A decision tree, trained here on the small labelled table below, keeps or
-drops it. Parsing is one pass over the page's tags, in linear time.
+drops it. Parsing is two passes over the page's tags, in linear time.
 """
 
 from __future__ import annotations
@@ -39,8 +39,10 @@ NESTING = {"address", "article", "aside", "blockquote", "body", "dd", "details",
            "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 BLOCKS = NESTING | HEADINGS | {"center", "hr", "legend", "p", "pre"}
 #: Elements without text of the page; what stands in them is skipped.
-SKIPPED = {"audio", "button", "canvas", "iframe", "math", "noscript", "object", "option", "script", "select", "style", "svg",
+SKIPPED = {"audio", "button", "canvas", "datalist", "iframe", "math", "noscript", "object", "option", "script", "select", "style", "svg",
            "template", "textarea", "title", "video"}
+#: Those whose content is raw text: without an end tag they run to the end of the page.
+RAW = {"script", "style", "textarea", "title"}
 #: Boilerplate by element or role; words of class or id that hint at it, which the tree weighs.
 BOILERPLATE = {"aside", "dialog", "footer", "form", "header", "menu", "nav"}
 ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "menu", "navigation", "search", "toolbar"}
@@ -130,28 +132,26 @@ def blocks_of(page: str) -> list[Block]:
                                 in_.heading_part if heading else in_.part))
         text = []
 
-    while at < end:
-        tag = _TAG.search(page, at, end)
-        if tag is None:
-            text.append((page[at:end], anchors))
-            break
-        if tag.start() > at:
-            text.append((page[at:tag.start()], anchors))
-        at = tag.end()
-        if tag.group(2) is None:
-            continue  # a comment or declaration
-        closing, name, rest = bool(tag.group(1)), tag.group(2).lower(), tag.group(3)
+    tags, open_end = _tags(page, end)
+    if open_end:
+        tail = ""
+    ends = _skipped_to(tags)
+    i = 0
+    while i < len(tags):
+        begin, after, closing, name, rest = tags[i]
+        if begin > at:
+            text.append((page[at:begin], anchors))
+        at = after
         if name == "a":
             anchors = not closing
         elif name == "br":
             text.append((" ", anchors))
         elif name in SKIPPED:
-            if not closing and not rest.endswith("/"):
-                stop = re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I).search(page, at)
-                if stop is None:
-                    at, tail = end, ""
-                else:
-                    at = stop.end()
+            if i in ends:
+                i = ends[i]
+                at = tags[i][1]
+            elif name == "option" and not closing:  # its end tag may be left out
+                at = tags[i + 1][0] if i + 1 < len(tags) else end
         elif name in BLOCKS or name in BOILERPLATE:
             flush()
             heading = name in HEADINGS and not closing
@@ -167,6 +167,9 @@ def blocks_of(page: str) -> list[Block]:
                         depth[left] -= 1
                         if left == name:
                             break
+        i += 1
+    if at < end and not open_end:
+        text.append((page[at:end], anchors))
     text.append((tail, anchors))
     flush()
     _weigh(blocks, parts)
@@ -174,6 +177,51 @@ def blocks_of(page: str) -> list[Block]:
     return blocks
 
 
+def _tags(page: str, end: int) -> tuple[list[tuple[int, int, bool, str, str]], bool]:
+    """The page's tags and comments (without a name) in order: where they
+    begin and end, whether end tags, name, rest. Raw text holds none; whether
+    one is left open, which ends the page."""
+    tags, at = [], 0
+    while at < end:
+        tag = _TAG.search(page, at, end)
+        if tag is None:
+            break
+        at = tag.end()
+        closing, name, rest = bool(tag.group(1)), (tag.group(2) or "").lower(), tag.group(3) or ""
+        tags.append((tag.start(), at, closing, name, rest))
+        if name in RAW and not closing and not rest.endswith("/"):
+            stop = re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I).search(page, at)
+            if stop is None:
+                return tags, True
+            at = stop.end()
+            tags.append((stop.start(), at, True, name, ""))
+    return tags, False
+
+
+def _skipped_to(tags: list[tuple[int, int, bool, str, str]]) -> dict[int, int]:
+    """The end tag of each start tag of a skipped element; one that is still
+    open where an element around it ends, or the page, has none."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    depth: Counter[str] = Counter()
+    for i, (_, _, closing, name, rest) in enumerate(tags):
+        if name not in SKIPPED and name not in NESTING and name not in BOILERPLATE:
+            continue
+        if not closing:
+            if name not in SKIPPED or not rest.endswith("/"):
+                stack.append((name, i))
+                depth[name] += 1
+        elif depth[name]:
+            while True:
+                left, start = stack.pop()
+                depth[left] -= 1
+                if left == name:
+                    break
+            if name in SKIPPED:
+                ends[start] = i
+    return ends
+
+
 def _attributes(rest: str) -> dict[str, str]:
     """Values by lower-case name; of a repeated name the first counts."""
     found: dict[str, str] = {}
