@@ -27,12 +27,32 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the n-gram Jaccard join keep the document with the
-    smallest id, once; documents with a null id stay."""
-    found = ngram_join.jaccard_components(docs)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Of each component of the n-gram Jaccard join keep one document, that
+    with the smallest id.
+
+    Rows that repeat an id and rows with a null id are documents of their own:
+    they are dropped only for a link, or as a repeat of id and text. Of the
+    rows with a component's smallest id the longest text stays, then the one
+    with the least SHA-256; a null id comes after all others.
+    """
+    if docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        found = ngram_join.jaccard_components(docs)
+        kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    key = "row"
+    while key in docs.columns:
+        key += "_"
+    rows = cut(docs.withColumn(key, F.monotonically_increasing_id()))
+    found = ngram_join.jaccard_components(rows, key).select(
+        F.col("doc_id").alias(key), F.col("n_shingles").alias("found_n"), F.col("component_id").alias("found_component"))
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", -F.coalesce(F.length("text"), F.lit(0)), digest, F.xxhash64(*docs.columns), key)
+    ranked = rows.select(key, "doc_id", digest.alias("found_digest"), order.alias("found_order")).join(found, key)
+    # Texts without words link with nothing: repeats of id and text are one.
+    wordless = (F.col("found_n") == 0) & F.col("doc_id").isNotNull()
+    group = [F.when(~wordless, F.col("found_component")), F.when(wordless, F.col("doc_id")), F.when(wordless, F.col("found_digest"))]
+    kept = ranked.groupBy(*group).agg(F.min("found_order").alias("first")).select(F.col(f"first.{key}").alias(key))
+    return rows.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
