@@ -68,7 +68,7 @@ def detokenize(text: ColumnOrName, entries: ColumnOrName, reverse: bool = False)
 
     def rebuilt(all_: Column) -> Column:
         kinds = F.transform(all_, lambda x: x["t"])
-        changes = F.filter(F.transform(kinds, lambda t, i: F.when((i > 0) & (t == F.get(kinds, i - 1)), F.lit(None)).otherwise(t)),
+        changes = F.filter(F.transform(kinds, lambda t, i: F.when((i > 0) & (t == F.get(all_, i - 1)["t"]), F.lit(None)).otherwise(t)),
                            lambda t: t.isNotNull())
         together = F.size(changes) == F.size(F.array_distinct(kinds))
         nested = F.exists(all_, lambda x: F.contains(x["v"], F.lit("[PII_")))

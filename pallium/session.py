@@ -36,7 +36,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         # Python keeps the last of duplicate JSON keys; so does the variant parser
         # with this setting (used by the strict answer check).
         .config("spark.sql.variant.allowDuplicateKeys", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "4g")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
