@@ -149,3 +149,10 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pallium.llm import html_text
 
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pallium.llm import whitening
+
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
