@@ -156,3 +156,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pallium.llm import whitening
 
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pallium.llm import alignment
+
+    return alignment.align_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
+                                     vocabulary("piece_bpe_32k.model"))
