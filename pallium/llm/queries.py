@@ -164,3 +164,11 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return alignment.align_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
                                      vocabulary("piece_bpe_32k.model"))
+
+
+@query()
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pallium.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
