@@ -21,7 +21,7 @@ from pallium.operators import answers as an
 from pallium.operators import cascade as cz
 from pallium.operators import detokenize as dt
 from pallium.operators.analyze import analyze
-from pallium.session import ensure_checkpoint_dir
+from pallium.session import pinned
 from pallium.sources import files as fs
 from pallium.sources.inline import assemble_pages, inline_source
 
@@ -78,6 +78,7 @@ def analyze_texts(
     concurrency: int = 1,
     dedupe_prompts: bool = True,
     answer_cache: str | None = None,
+    pins: list[DataFrame] | None = None,
 ) -> DataFrame:
     """P1 over a table of texts.
 
@@ -100,7 +101,9 @@ def analyze_texts(
     both. With ``answer_cache`` (a parquet
     folder on shared storage, used with ``dedupe_prompts``) successful
     answers are kept across runs: prompts answered before are not sent
-    again, so rerunning a failed job does not repeat finished calls.
+    again, so rerunning a failed job does not repeat finished calls. ``pins``
+    collects the pinned frames; once the result is written, ``release`` may
+    remove their files.
     """
     d = inline_source(df, text_col, label_col, default_label)
     cleaned = F.col(text_col) if precleaned else clean_text(text_col)
@@ -115,11 +118,10 @@ def analyze_texts(
             "call_error", F.lit(None).cast("string")
         )
     else:
-        ensure_checkpoint_dir(df.sparkSession)
         call_key = "__prompt_sha" if dedupe_prompts else key_col
         if dedupe_prompts:
             tok = tok.withColumn(call_key, F.when(F.col("__blank").isNull(), F.sha2(prompt, 256)))
-        tok = tok.drop("__clean").checkpoint(eager=True)
+        tok = pinned(tok.drop("__clean"), pins)
         blank = tok.filter(F.col("__blank").isNotNull())
         tok = tok.filter(F.col("__blank").isNull())
         todo = tok.select(call_key, "tokenized_text")
@@ -132,7 +134,7 @@ def analyze_texts(
         # the shuffle of the de-duplication, whose partitions may be coalesced.
         todo = todo.repartition(call_tasks(df.sparkSession), F.xxhash64(call_key)).select(call_key, prompt.alias("prompt"))
         calls = analyze(todo, analyzer, call_key, "prompt", attempts, wait, concurrency)
-        calls = calls.checkpoint(eager=True)
+        calls = pinned(calls, pins)
         if cached is not None or (answer_cache and dedupe_prompts):
             calls.filter(F.col("call_error").isNull()).select(call_key, "raw", "call_error").write.mode(
                 "append"

@@ -72,6 +72,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def pinned(df: DataFrame, pins: list[DataFrame] | None = None) -> DataFrame:
+    """``df`` written to the reliable checkpoint folder and read from there;
+    ``pins`` collects it for :func:`release`."""
+    ensure_checkpoint_dir(df.sparkSession)
+    made = df.checkpoint(eager=True)
+    if pins is not None:
+        pins.append(made)
+    return made
+
+
+def release(pins: list[DataFrame]) -> None:
+    """Remove the checkpoint files of pinned frames. Nothing made from them may
+    be computed afterwards."""
+    for df in pins:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    pins.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

@@ -28,7 +28,7 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None, recursiv
     """One row per file ``(path, modificationTime, length, content)``.
 
     The scan leaves out zero-byte files; ``include_empty`` adds them with
-    empty content (their names are listed on the driver)."""
+    empty content."""
     reader = spark.read.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -37,22 +37,12 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None, recursiv
 
 
 def empty_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """The zero-byte files of a folder in the schema of ``read_files``, by the
-    scan's rules: hidden names are left out, ``glob`` applies to names."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(path)
-    accepts = hadoop.GlobFilter(glob) if glob else None
-    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, recursive)
-    names = []
-    while listed.hasNext():
-        status = listed.next()
-        if status.getLen() == 0:
-            file = status.getPath()
-            if file.getName()[0] not in "_." and (accepts is None or accepts.accept(file)):
-                names.append((file.toString(), status.getModificationTime() / 1000))
-    made = spark.createDataFrame(names, "path string, seconds double")
-    return made.select("path", F.timestamp_seconds("seconds").alias("modificationTime"), F.lit(0).cast("long").alias("length"),
-                       F.lit(b"").alias("content"))
+    """The zero-byte files of a folder in the schema of ``read_files``, listed
+    in tasks; hidden names are left out, ``glob`` applies to names."""
+    from pallium.sources.landing import list_files
+
+    listed = list_files(spark, path, glob, recursive).filter("length = 0")
+    return listed.withColumn("content", F.lit(b""))
 
 
 def dispatch(df: DataFrame, name_col: str = "path") -> DataFrame:
