@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pallium.llm.common import id_and_text, packed, slices
+from pallium.llm.common import cut, id_and_text, packed, slices
 
 #: Labelled documents of each label, and distinct sentences of each, used for training.
 SAMPLE, SENTENCES = 4000, 1000
@@ -42,6 +42,8 @@ TOXIC_WEIGHT = 0.5
 ROUNDS, RATE = 150, 0.15
 #: Documents from this score on are toxic.
 TOXIC = 0.7
+#: Tasks that count the sample's features.
+TASKS = 8
 #: Words whose scores a task remembers.
 TABLE = 1 << 19
 
@@ -147,22 +149,37 @@ def evidence(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -
     return out
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
-    """Gradient descent (Adam) on the logistic loss of noisy-or documents."""
+def presence(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
+    """Numbers of clean and of toxic documents that hold each feature."""
+    out = np.zeros((2, FEATURES), np.int64)
+    for (found, _), label in zip(bags, labels.tolist(), strict=True):
+        out[label, np.unique(found)] += 1
+    return out
+
+
+def evident(held: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
+    """The features whose evidence is enough, ascending."""
+    return np.flatnonzero(evidence(held[1], held[0], n_toxic, n_clean) >= EVIDENCE)
+
+
+def reduced(found: tuple[np.ndarray, np.ndarray], features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bag with the places of the given features only."""
+    flat, lengths = found[0].astype(np.int64), found[1].astype(np.int64)
+    place = np.searchsorted(features, flat)
+    use = np.append(features, -1)[np.minimum(place, len(features))] == flat
+    sentence = np.repeat(np.arange(len(lengths)), lengths)
+    return place[use].astype(np.uint32), np.bincount(sentence[use], minlength=len(lengths)).astype(np.uint32)
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, features: np.ndarray) -> Model:
+    """Gradient descent (Adam) on the logistic loss of noisy-or documents, whose
+    bags hold places in ``features``."""
     per_doc = np.array([len(n) for _, n in bags])
     lengths = np.concatenate([n for _, n in bags]).astype(np.int64)
-    flat = np.concatenate([f for f, _ in bags]).astype(np.int64)
+    column = np.concatenate([f for f, _ in bags]).astype(np.int64)
     sentence = np.repeat(np.arange(len(lengths)), lengths)
     doc_of = np.repeat(np.arange(len(bags)), per_doc)
-    positive = labels == 1
-    seen = np.unique(doc_of[sentence] * FEATURES + flat)
-    in_toxic = positive[seen // FEATURES]
-    common = evidence(*(np.bincount(seen[x] % FEATURES, minlength=FEATURES) for x in (in_toxic, ~in_toxic)),
-                      positive.sum(), (~positive).sum()) >= EVIDENCE
-    place = np.cumsum(common) - 1
-    use = common[flat]
-    column, sentence = place[flat[use]], sentence[use]
-    count = int(common.sum())
+    positive, count = labels == 1, len(features)
     part = np.where(positive, TOXIC_WEIGHT / positive.sum(), (1 - TOXIC_WEIGHT) / (~positive).sum())
     w = np.zeros(count + 1)  # the bias comes last
     w[-1] = START
@@ -180,7 +197,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Mode
         second += 0.01 * (g * g - second)
         rate = RATE * (1 - (step - 1) / ROUNDS)
         w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
-    return Model(bias=float(w[-1]), weights=dict(zip(np.flatnonzero(common).tolist(), w[:-1].tolist(), strict=True)))
+    return Model(bias=float(w[-1]), weights=dict(zip(features.tolist(), w[:-1].tolist(), strict=True)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -193,8 +210,36 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = [bag(text.as_py()) for text in batch.column(batch.schema.get_field_index("text"))]
         yield pa.RecordBatch.from_arrays(
             [batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("toxic")),
-             pa.array([packed(f, "<u4") for f, _ in made], pa.binary()), pa.array([packed(n, "<u4") for _, n in made], pa.binary())],
-            names=["doc_id", "toxic", "features", "lengths"])
+             *_packed_bags(made)], names=["doc_id", "toxic", "features", "lengths"])
+
+
+def _packed_bags(bags: list) -> list[pa.Array]:
+    return [pa.array([packed(x[i], "<u4") for x in bags], pa.binary()) for i in (0, 1)]
+
+
+def _unpacked_bags(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [tuple(np.frombuffer(x.as_py(), "<u4") for x in row) for row in zip(batch.column(2), batch.column(3), strict=True)]
+
+
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's documents by feature, one row."""
+    held, count = np.zeros((2, FEATURES), np.int64), np.zeros(2, np.int64)
+    for batch in slices(batches, 100):
+        labels = np.asarray(batch.column(1))
+        held += presence(_unpacked_bags(batch), labels)
+        count += np.bincount(labels, minlength=2)
+    yield pa.RecordBatch.from_arrays([pa.array([packed(held, "<i4")], pa.binary()), pa.array([packed(count, "<i8")], pa.binary())],
+                                     names=["held", "count"])
+
+
+def _reducer(features: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 100):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *_packed_bags([reduced(x, features) for x in _unpacked_bags(batch)])],
+                names=["doc_id", "toxic", "features", "lengths"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
@@ -218,14 +263,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # At most ``sample`` ids of each label.
     chosen = [tuple(r) for y in (0, 1)
               for r in present.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    rows = (texts.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, toxic int")), "doc_id")
-            .groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-            .mapInArrow(_bags, "doc_id long, toxic int, features binary, lengths binary").collect())
-    rows.sort(key=lambda r: r.doc_id)
-    answers = np.array([r.toxic for r in rows])
-    if len(set(answers.tolist())) < 2:
+    schema = "doc_id long, toxic int, features binary, lengths binary"
+    bags = cut(texts.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, toxic int")), "doc_id")
+               .groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+               .mapInArrow(_bags, schema))
+    # A few rows of counts by feature; then what the features with evidence leave of the bags.
+    shares = bags.coalesce(TASKS).mapInArrow(_presence, "held binary, count binary").collect()
+    held = sum((np.frombuffer(r.held, "<i4").reshape(2, -1) for r in shares), np.zeros((2, FEATURES), np.int64))
+    clean, toxic = sum((np.frombuffer(r["count"], "<i8") for r in shares), np.zeros(2, np.int64)).tolist()
+    if not clean or not toxic:
         return Model(prior=prior)
-    model = train([(np.frombuffer(r.features, "<u4"), np.frombuffer(r.lengths, "<u4")) for r in rows], answers)
+    features = evident(held, clean, toxic)
+    rows = sorted(bags.mapInArrow(_reducer(features), schema).collect(), key=lambda r: r.doc_id)
+    model = train([(np.frombuffer(r.features, "<u4"), np.frombuffer(r.lengths, "<u4")) for r in rows],
+                  np.array([r.toxic for r in rows]), features)
     model.prior = prior
     return model
 
