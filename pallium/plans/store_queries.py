@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pallium.plans.registry import query
 from pallium.session import table
 from pallium.sources import store as st
+from pallium.sources.paging import deep_page
 
 _ORDER_COLS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 
@@ -45,6 +46,19 @@ def q_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Q2, from the middle of the listing on: found by counting, not by sorting what comes before.
+@query(
+    "deep_page",
+    f"""SELECT o_orderkey, o_orderdate, o_totalprice FROM orders
+ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT {_PAGE_LIMIT} OFFSET (SELECT count(*) // 2 FROM orders)""",
+)
+def q_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _orders(spark, sf_dir)
+    return deep_page(orders, _PAGE_LIMIT, orders.count() // 2, "o_orderdate", "o_orderkey").select(
+        "o_orderkey", "o_orderdate", "o_totalprice"
+    )
+
+
 # Q3 -------------------------------------------------------------------------
 @query("total_count", "SELECT CAST(count(*) AS BIGINT) AS total FROM orders")
 def q_total_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from pallium.functions.patterns import DEFAULT_PAGE_SIZE
 from pallium.session import ensure_checkpoint_dir
+from pallium.sources.paging import SHALLOW, deep_page
 
 RESULT_SCHEMA = T.StructType(
     [
@@ -128,10 +129,14 @@ def newest_first(time_col: str = "created_at", id_col: str = "id") -> list[Colum
     return [F.col(time_col).desc(), F.col(id_col).desc()]
 
 
-def page(df: DataFrame, limit: int = DEFAULT_PAGE_SIZE, offset: int = 0, order: list[Column] | None = None) -> DataFrame:
+def page(df: DataFrame, limit: int = DEFAULT_PAGE_SIZE, offset: int = 0, order: list[Column] | None = None,
+         time_col: str = "created_at", id_col: str = "id") -> DataFrame:
     """Q2: one page in listing order. Sort + offset + limit plan as a top-k
-    (each task keeps offset+limit rows), not a full sort."""
-    ordered = df.orderBy(*(order or newest_first()))
+    (each task keeps offset+limit rows), not a full sort; pages deep in the
+    listing order are found by counting (``deep_page``)."""
+    if order is None and offset and offset + limit > SHALLOW:
+        return deep_page(df, limit, offset, time_col, id_col)
+    ordered = df.orderBy(*(order or newest_first(time_col, id_col)))
     if offset:
         ordered = ordered.offset(offset)
     return ordered.limit(limit)
@@ -143,11 +148,11 @@ def total_count(df: DataFrame) -> DataFrame:
 
 
 def page_with_total(df: DataFrame, limit: int = DEFAULT_PAGE_SIZE, offset: int = 0,
-                    order: list[Column] | None = None) -> DataFrame:
+                    order: list[Column] | None = None, time_col: str = "created_at", id_col: str = "id") -> DataFrame:
     """Q4: the page, each row carrying the table total as a scalar subquery
     (computed once, no join)."""
     total = total_count(df).scalar()
-    return page(df, limit, offset, order).withColumn("total", total)
+    return page(df, limit, offset, order, time_col, id_col).withColumn("total", total)
 
 
 def iso_time(c: Column | str) -> Column:
