@@ -7,9 +7,10 @@ any exception, or an answer of ``None``, counts as a failed attempt; after
 the last attempt the row carries the wrapped error instead of an answer. An
 empty string is an answer (the parse step rejects it).
 
-Calls are at-least-once: a lost task re-runs its calls. Persist the answers
-(``analyze`` then write, as the flows do) before joining them onward, so a
-later failure does not call again.
+Calls are at-least-once: a lost task re-runs its calls. ``analyze_in_rounds``
+bounds what is repeated: prompts are pinned in files and sent in rounds, each
+of which commits its answers, so a failure repeats no more than the round it
+came in.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pallium.functions.patterns import (
@@ -73,6 +75,18 @@ def call_with_retries(fn: Callable[[str], str | None], prompt: str, attempts: in
     return retrying_caller(fn, attempts, wait, sleep)(prompt)
 
 
+def answer_schema(df: DataFrame, key_col: str) -> T.StructType:
+    key_field = df.schema[key_col]
+    return T.StructType(
+        [
+            T.StructField(key_col, key_field.dataType, key_field.nullable),
+            T.StructField("raw", T.StringType(), True),
+            T.StructField("n_attempts", T.IntegerType(), False),
+            T.StructField("call_error", T.StringType(), True),
+        ]
+    )
+
+
 def analyze(df: DataFrame, fn: Callable[[str], str | None], key_col: str = "doc_id", prompt_col: str = "prompt",
             attempts: int = ANALYZE_ATTEMPTS, wait: tuple[float, float] = (ANALYZE_WAIT_MIN, ANALYZE_WAIT_MAX),
             concurrency: int = 1) -> DataFrame:
@@ -83,15 +97,7 @@ def analyze(df: DataFrame, fn: Callable[[str], str | None], key_col: str = "doc_
     are I/O-bound, so this raises throughput without more executors; the
     cluster-wide number of calls in flight is tasks x ``concurrency``.
     """
-    key_field = df.schema[key_col]
-    out_schema = T.StructType(
-        [
-            T.StructField(key_col, key_field.dataType, key_field.nullable),
-            T.StructField("raw", T.StringType(), True),
-            T.StructField("n_attempts", T.IntegerType(), False),
-            T.StructField("call_error", T.StringType(), True),
-        ]
-    )
+    out_schema = answer_schema(df, key_col)
     sleep = time.sleep if wait[1] > 0 else (lambda _s: None)
     one = retrying_caller(fn, attempts, wait, sleep)
 
@@ -117,3 +123,45 @@ def analyze(df: DataFrame, fn: Callable[[str], str | None], key_col: str = "doc_
             pool.shutdown()
 
     return df.select(key_col, prompt_col).mapInPandas(run, out_schema)
+
+
+#: Prompts that a task calls for in a round, for each call it makes at once.
+ROUND_CALLS = 32
+
+
+def call_tasks(spark) -> int:
+    """Tasks that analyzer calls are dealt over: all cores busy, whatever the
+    size of the prompts."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def analyze_in_rounds(df: DataFrame, fn: Callable[[str], str | None], folder: str, key_col: str = "doc_id",
+                      prompt_col: str = "prompt", attempts: int = ANALYZE_ATTEMPTS,
+                      wait: tuple[float, float] = (ANALYZE_WAIT_MIN, ANALYZE_WAIT_MAX), concurrency: int = 1,
+                      round_calls: int = ROUND_CALLS) -> DataFrame:
+    """``analyze`` with answers committed round by round; runs at once.
+
+    The prompts are written below ``folder`` (on shared storage), in files of
+    ``round_calls`` times ``concurrency`` prompts. A stream over these files
+    takes as many at a time as there are tasks, calls, and commits the answers
+    of the round (availableNow: it ends with the last file). Called again with
+    the folder of a run that failed, it takes the prompts from there and goes
+    on after the last round committed: a lost task repeats its calls of one
+    round, a lost driver at most one round.
+    """
+    spark = df.sparkSession
+    schema = answer_schema(df, key_col)
+    tasks, prompts, answers = call_tasks(spark), f"{folder}/prompts", f"{folder}/answers"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{prompts}/_SUCCESS")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = df.select(key_col, prompt_col)
+    if not files.exists(path):
+        # By a hash of the key: dealt by the key itself, the shuffle could be
+        # merged with one before it, whose partitions may be coalesced.
+        (rows.repartition(tasks, F.xxhash64(key_col)).write.mode("overwrite")
+         .option("maxRecordsPerFile", str(max(1, round_calls * concurrency))).parquet(prompts))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", str(tasks)).parquet(prompts)
+    called = analyze(stream, fn, key_col, prompt_col, attempts, wait, concurrency)
+    (called.writeStream.format("parquet").option("path", answers).option("checkpointLocation", f"{folder}/rounds")
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(schema).parquet(answers)

@@ -20,8 +20,8 @@ from pallium.functions.text import clean_text
 from pallium.operators import answers as an
 from pallium.operators import cascade as cz
 from pallium.operators import detokenize as dt
-from pallium.operators.analyze import analyze
-from pallium.session import pinned
+from pallium.operators.analyze import analyze_in_rounds
+from pallium.session import pinned, scratch
 from pallium.sources import files as fs
 from pallium.sources.inline import assemble_pages, inline_source
 
@@ -78,7 +78,8 @@ def analyze_texts(
     concurrency: int = 1,
     dedupe_prompts: bool = True,
     answer_cache: str | None = None,
-    pins: list[DataFrame] | None = None,
+    pins: list[DataFrame | str] | None = None,
+    calls_dir: str | None = None,
 ) -> DataFrame:
     """P1 over a table of texts.
 
@@ -88,13 +89,13 @@ def analyze_texts(
     held a token-shaped string, L3). Failed rows (blank text, analyzer
     exhausted) carry ``error`` and no result fields; they are never stored.
 
-    A Python ``analyzer`` is called through ``analyze`` (A2); the tokenized
-    rows are pinned in the reliable checkpoint folder first and the answers
-    after, so a lost executor neither re-runs the cascade nor calls the
-    analyzer again for answers already obtained. The pinned rows hold the
-    tokenized text once; prompts are built next to the call, and calls are
-    dealt over a fixed number of tasks, so that all cores wait on the
-    analyzer. With ``dedupe_prompts`` (default) it is called once per distinct
+    A Python ``analyzer`` is called through ``analyze_in_rounds`` (A2); the
+    tokenized rows are pinned in the reliable checkpoint folder first, and the
+    answers are committed round by round, so a lost executor neither re-runs
+    the cascade nor calls the analyzer again for answers of finished rounds.
+    With ``calls_dir``, a folder on shared storage, a failed job that is run
+    again on the same rows goes on after its last round. Calls are dealt over
+    a fixed number of tasks, so that all cores wait on the analyzer. With ``dedupe_prompts`` (default) it is called once per distinct
     prompt: prompts are keyed by their SHA-256, de-duplicated (partial
     aggregation map-side), and the answers joined back on the hash, those of
     much repeated prompts in parts (``_join_answers``). Blank rows stay out of
@@ -130,11 +131,11 @@ def analyze_texts(
         cached = _cached_answers(df.sparkSession, answer_cache, call_key) if dedupe_prompts else None
         if cached is not None:
             todo = todo.join(cached.select(call_key), call_key, "left_anti")
-        # By a hash of the key: dealt by the key itself, it would be merged with
-        # the shuffle of the de-duplication, whose partitions may be coalesced.
-        todo = todo.repartition(call_tasks(df.sparkSession), F.xxhash64(call_key)).select(call_key, prompt.alias("prompt"))
-        calls = analyze(todo, analyzer, call_key, "prompt", attempts, wait, concurrency)
-        calls = pinned(calls, pins)
+        folder = calls_dir or scratch(df.sparkSession, "calls")
+        if pins is not None and calls_dir is None:
+            pins.append(folder)
+        calls = analyze_in_rounds(todo.select(call_key, prompt.alias("prompt")), analyzer, folder, call_key, "prompt", attempts,
+                                  wait, concurrency)
         if cached is not None or (answer_cache and dedupe_prompts):
             calls.filter(F.col("call_error").isNull()).select(call_key, "raw", "call_error").write.mode(
                 "append"
@@ -183,12 +184,6 @@ PART_ROWS = 64
 MOST_HOT = 10_000
 
 
-def call_tasks(spark) -> int:
-    """Tasks that analyzer calls are dealt over: all cores busy, whatever the
-    size of the prompts."""
-    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def _join_answers(rows: DataFrame, calls: DataFrame, call_key: str, key_col: str) -> DataFrame:
     """Rows with their answers. A prompt that makes up a large part of the rows
     is joined in parts of its rows, each with a copy of its answer, so it makes

@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,7 +73,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def pinned(df: DataFrame, pins: list[DataFrame] | None = None) -> DataFrame:
+def pinned(df: DataFrame, pins: list[DataFrame | str] | None = None) -> DataFrame:
     """``df`` written to the reliable checkpoint folder and read from there;
     ``pins`` collects it for :func:`release`."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -82,14 +83,26 @@ def pinned(df: DataFrame, pins: list[DataFrame] | None = None) -> DataFrame:
     return made
 
 
-def release(pins: list[DataFrame]) -> None:
-    """Remove the checkpoint files of pinned frames. Nothing made from them may
-    be computed afterwards."""
-    for df in pins:
-        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/pallium-{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(pins: list[DataFrame | str], spark: SparkSession | None = None) -> None:
+    """Remove the checkpoint files of pinned frames, and folders. Nothing made
+    from them may be computed afterwards."""
+    for pin in pins:
+        if isinstance(pin, str):
+            remove(spark or SparkSession.active(), pin)
+            continue
+        file = pin._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
         if file.isDefined():
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            remove(pin.sparkSession, file.get())
     pins.clear()
 
 

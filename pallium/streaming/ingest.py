@@ -85,7 +85,7 @@ def start_ingest(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint
         files = (noted.groupBy("path").agg(F.max(F.struct("modificationTime", "length")).alias("m"))
                  .select("path", "m.modificationTime", "m.length"))
         target = aside and f"{aside.rstrip('/')}/batch_id={batch_id}"
-        pins: list[DataFrame] = []
+        pins: list[DataFrame | str] = []
         content = with_content(files, target and (landing_dir, target))
         options = kw if _is_native(analyzer) else kw | {"pins": pins}
         rows = analyze_file_rows(content, analyzer, **options)
@@ -96,7 +96,7 @@ def start_ingest(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint
             rows.filter("success").write.mode("overwrite").parquet(f"{out_dir}/{place}")
             (rows.filter("not success").select("doc_key", "error", F.current_timestamp().alias("failed_at"))
              .write.mode("overwrite").parquet(f"{failures_dir}/{place}"))
-        release(pins)
+        release(pins, spark)
         if target:
             move_files(files, landing_dir, target)
 
