@@ -20,15 +20,14 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pallium.llm.common import column_of, cut, id_and_text, read_shipped
+from pallium.llm.common import column_of, cut, id_and_text, read_shipped, slices
+from pallium.llm.encoding import byte_bpe
 
 CAPACITY = 1024
 #: Ends every document.
@@ -37,45 +36,15 @@ END = 0
 #: or after so many columns; a plan is complete either way.
 GAP, MAX_COLUMNS = 0.001, 200
 
-#: Beyond these characters, or with so long a run, a text goes to the
-#: tokenizers library; the faster one gives the same ids for the rest.
-_RARE = regex.compile(r"[^\x00-ɏ]|\S{500}|\s{500}")
-
 
 class Tokens:
-    """Ids of texts in a byte-level BPE vocabulary (tokenizers JSON)."""
+    """Ids of texts, each text's followed by :data:`END`."""
 
     def __init__(self, content: bytes):
-        import json
-
-        import public_tokenizers
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_str(content.decode("utf-8"))
-        spec = json.loads(content)
-        back = {c: bytes([b]) for b, c in enumerate(_byte_symbols())}
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ranks = {b"".join(back[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in special}
-        self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.bpe = byte_bpe(content)
 
     def ids(self, text: str) -> np.ndarray:
-        if _RARE.search(text):
-            found = self.library.encode(text, add_special_tokens=False).ids
-        else:
-            found = self.fast.encode_to_numpy(text, allowed_special="all")
-        return np.append(np.asarray(found, dtype="<u4"), np.array([END], dtype="<u4"))
-
-
-def _byte_symbols() -> list[str]:
-    from pallium.llm.bpe import byte_symbols
-
-    return byte_symbols()
-
-
-@lru_cache(maxsize=2)
-def tokens_of(content: bytes) -> Tokens:
-    return Tokens(content)
+        return np.append(self.bpe.ids(text).astype("<u4", copy=False), np.array([END], dtype="<u4"))
 
 
 def _cutter(content, keep_ids: bool):
@@ -84,9 +53,9 @@ def _cutter(content, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, task = tokens_of(content.value), TaskContext.get().partitionId()
+        tokens, task = Tokens(content.value), TaskContext.get().partitionId()
         counter = np.zeros(CAPACITY + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             out: dict[str, list] = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "place", "ids")}
             for doc_id, text in zip(column_of(batch, "doc_id"), column_of(batch, "text"), strict=True):
                 ids = tokens.ids(text)
