@@ -19,17 +19,20 @@ STRICT = UNLIMITED | {"allowSingleQuotes": "false", "allowNonNumericNumbers": "f
 
 
 def is_strict_json(c: ColumnOrName) -> Column:
-    """True when the whole string is exactly one JSON value, of any size.
-
-    The string is parsed in two wrappings, ``[s]`` and ``[s,null]``, as an
-    array whose elements are kept as text: strict JSON gives one and two
-    elements. The parser accepts trailing junk after a value; if ``s`` closed
-    the bracket early (``1] [2``), both parses would stop at the same place
-    and give the same count, so the pair of counts is exact. Duplicate keys
+    """True when the whole string is exactly one JSON value, of any size and
+    depth.
+
+    The string is put in two places, as a member of an object, ``{"a":s,"b":1}``,
+    and as an element of an array, ``{"a":[s],"b":1}``, and only ``b`` is asked
+    for: the parser then checks all else and skips it, without building text
+    (whose writer has a limit on depth) or recursion. Both must give 1. What
+    may follow a value differs in the two places, ``:`` after a further string
+    in the object alone, ``]`` or a further value in the array alone, ``}`` in
+    the object alone; so a string that fits both is one value. Duplicate keys
     are valid, as in Python, whatever the session's settings. Null input gives
     false.
     """
     s = _col(c)
-    one = F.from_json(F.concat(F.lit("["), s, F.lit("]")), "array<string>", STRICT)
-    two = F.from_json(F.concat(F.lit("["), s, F.lit(",null]")), "array<string>", STRICT)
-    return F.coalesce((F.size(one) == 1) & (F.size(two) == 2), F.lit(False))
+    member, element = (F.from_json(F.concat(F.lit(head), s, F.lit(tail)), "b int", STRICT)["b"]
+                       for head, tail in (('{"a":', ',"b":1}'), ('{"a":[', '],"b":1}')))
+    return F.coalesce((member == 1) & (element == 1), F.lit(False))
