@@ -14,7 +14,87 @@ def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-TOKEN = r"^\[PII_(.+)_([1-9][0-9]*)\]$"
+#: A token anywhere in a text.
+TOKEN = r"\[PII_[^\[\]\x01]+_[1-9][0-9]*\]"
+#: Values, each followed by U+0002, that could make a token together with what
+#: comes to stand beside them.
+HAZARD = r"(?:^|\x02)(?:PII|II|I)?_|\[(?:P(?:I(?:I(?:_[^\[\]\x02]*)?)?)?)?\x02"
+#: Tokens in the values of tokens are followed so deep in one pass after another.
+LEVELS = 8
+
+
+def _sql(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with a name for a value that is worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+# The steps as SQL over x (t: text, e: entries), s (entries sorted by type and
+# number) and f (where each type begins in s): parsed in one go, a plan of as
+# many column objects would take longer to build than to run.
+_ODD = "i % 2 = 1"
+_WITHIN = "contains({0}, '[PII_')"
+
+
+def _parsed(token: str, use: str) -> str:
+    """Type and number of a token as q.k, q.n."""
+    return _let("tl", f"substring_index({token}, '_', -1)", _let(
+        "q", f"named_struct('k', substr({token}, 6, length({token}) - length(tl) - 6), "
+             "'n', try_cast(substr(tl, 1, length(tl) - 1) AS INT))", use))
+
+
+def _entry(token: str) -> str:
+    """A token's entry in s, or null."""
+    at = "get(filter(f, z -> z.k = q.k), 0).i + q.n - 1"
+    return _parsed(token, _let("c", f"get(s, {at})", "CASE WHEN c.k = q.k AND c.n = q.n THEN c END"))
+
+
+def _pieces(text: str) -> str:
+    """Alternately what stands between tokens, and tokens."""
+    return f"split(regexp_replace({text}, {_sql(TOKEN)}, concat(char(1), '$0', char(1))), char(1), -1)"
+
+
+def _strays(pieces: str) -> str:
+    """Whether something that begins like a token stands between tokens."""
+    return f"exists(filter({pieces}, (p, i) -> i % 2 = 0), p -> {_WITHIN.format('p')})"
+
+
+def _replaced(pieces: str) -> str:
+    return f"array_join(transform({pieces}, (p, i) -> CASE WHEN {_ODD} THEN coalesce({_entry('p')}.v, p) ELSE p END), '')"
+
+
+def _restored(reverse: bool) -> str:
+    """The text of ``x`` with its tokens replaced."""
+    order = "reverse(x.e)" if reverse else "x.e"
+    one_by_one = f"aggregate({order}, x.t, (acc, y) -> replace(acc, y.token, y.value))"
+    numbered = (f"transform(x.e, (y, i) -> " + _parsed("y.token", (
+        "named_struct('k', q.k, 'n', q.n, 'at', i, 'v', y.value, 'ok', "
+        f"coalesce(y.token RLIKE {_sql('^' + TOKEN + '$')} AND q.n IS NOT NULL AND y.value IS NOT NULL, false))")) + ")")
+    follows = ("transform(s, (y, i) -> y.ok AND y.n = CASE WHEN i > 0 AND get(s, i - 1).k = y.k THEN get(s, i - 1).n + 1 ELSE 1 END)")
+    safe = (f"forall({follows}, ok -> ok) AND NOT contains(x.t, char(1)) AND NOT "
+            f"concat(array_join(transform(s, y -> y.v), char(2)), char(2)) RLIKE {_sql(HAZARD)}")
+    first = "filter(transform(s, (y, i) -> named_struct('k', y.k, 'i', i, 'n', y.n)), y -> y.n = 1)"
+    # Tokens in a value come before its own in the mapping.
+    inner_ok = _let("vp", _pieces("y.v"), (
+        f"NOT contains(y.v, char(1)) AND NOT {_strays('vp')} AND "
+        f"forall(filter(vp, (p, i) -> {_ODD}), p -> coalesce({_entry('p')}.at < y.at, true))"))
+    once = _replaced("ps")
+    if reverse:
+        deeper = (f"aggregate(sequence(1, {LEVELS}), {once}, (acc, l) -> CASE WHEN {_WITHIN.format('acc')} "
+                  f"THEN {_replaced(_pieces('acc'))} ELSE acc END)")
+        left = f"exists(filter({_pieces('o')}, (p, i) -> {_ODD}), p -> {_entry('p')} IS NOT NULL)"
+        deep = _let("o", deeper, f"CASE WHEN {left} THEN {one_by_one} ELSE o END")
+    else:
+        deep = once
+    passed = (f"CASE WHEN {_strays('ps')} THEN {one_by_one} WHEN size(nested) = 0 THEN {once} "
+              f"WHEN forall(nested, y -> {inner_ok}) THEN {deep} ELSE {one_by_one} END")
+    body = _let("f", first, _let("nested", f"filter(s, y -> {_WITHIN.format('y.v')})", _let("ps", _pieces("x.t"), passed)))
+    none = f"NOT {_WITHIN.format('x.t')} AND forall(x.e, y -> startswith(y.token, '[PII_'))"
+    return (f"CASE WHEN size(x.e) = 0 THEN x.t WHEN {none} THEN x.t ELSE "
+            + _let("s", f"array_sort({numbered})", f"CASE WHEN {safe} THEN {body} ELSE {one_by_one} END") + " END")
 
 
 def detokenize(text: ColumnOrName, entries: ColumnOrName, reverse: bool = False) -> Column:
@@ -27,61 +107,16 @@ def detokenize(text: ColumnOrName, entries: ColumnOrName, reverse: bool = False)
     exactly. Tokens without an entry stay as they are (drop entries first for
     a partial restore).
 
-    One pass over the text per entity type, in the order of the mapping: the
-    text is split at the type's tokens and the values are looked up by the
-    number in the token, so time is linear in text and tokens. That equals
-    replacing token by token unless a value holds a token of its own type, or
-    of a type whose entries are not together in the mapping; such rows, and
-    mappings whose numbers have gaps, are replaced token by token.
+    One pass over the text for all types: it is split at its tokens, and the
+    values are fetched by type and number from the entries sorted that way, so
+    time is linear in text and tokens. Nested tokens are expanded by as many
+    further passes as they are deep. That equals replacing token by token
+    unless numbers have gaps, a value holds a token that comes after its own
+    in the mapping, or values and text could make up a new token between them;
+    such rows are replaced token by token.
     """
-    e = _col(entries)
-    if reverse:
-        e = F.reverse(e)
-
-    def parsed(x: Column) -> Column:
-        kind = F.regexp_extract(x["token"], TOKEN, 1)
-        number = F.regexp_extract(x["token"], TOKEN, 2).try_cast("int")
-        return F.struct(kind.alias("t"), number.alias("n"), x["value"].alias("v"))
-
-    def group(all_: Column, t: Column) -> Column:
-        own = F.array_sort(F.transform(F.filter(all_, lambda x: x["t"] == t), lambda x: F.struct(x["n"].alias("n"), x["v"].alias("v"))))
-        return F.struct(t.alias("t"), own.alias("own"))
-
-    def plain(g: Column) -> Column:
-        size = F.size(g["own"])
-        numbers = F.transform(g["own"], lambda x: x["n"])
-        dense = (F.element_at(numbers, -1) == size) & (F.size(F.array_distinct(numbers)) == size)
-        mark = F.concat(F.lit("[PII_"), g["t"], F.lit("_"))
-        return (g["t"] != "") & F.coalesce(dense, F.lit(False)) & ~F.exists(g["own"], lambda x: F.coalesce(F.contains(x["v"], mark), F.lit(True)))
-
-    def replaced(acc: Column, g: Column) -> Column:
-        pattern = F.concat(F.lit(r"\[PII_\Q"), g["t"], F.lit(r"\E_([1-9][0-9]*)\]"))
-        numbers = F.regexp_extract_all(acc, pattern, F.lit(1))
-
-        def back(between: Column, number: Column) -> Column:
-            value = F.get(g["own"], number.try_cast("int") - 1)["v"]
-            kept = F.concat(F.lit("[PII_"), g["t"], F.lit("_"), number, F.lit("]"))
-            return F.when(number.isNull(), between).otherwise(F.concat(between, F.coalesce(value, kept)))
-
-        # The text has one part more than tokens, so the last number is null.
-        return F.array_join(F.zip_with(F.split(acc, pattern, -1), numbers, back), "")
-
-    def rebuilt(all_: Column) -> Column:
-        kinds = F.transform(all_, lambda x: x["t"])
-        changes = F.filter(F.transform(kinds, lambda t, i: F.when((i > 0) & (t == F.get(all_, i - 1)["t"]), F.lit(None)).otherwise(t)),
-                           lambda t: t.isNotNull())
-        together = F.size(changes) == F.size(F.array_distinct(kinds))
-        nested = F.exists(all_, lambda x: F.contains(x["v"], F.lit("[PII_")))
-        groups = F.transform(F.array_distinct(kinds), lambda t: group(all_, t))
-
-        def decided(gs: Column) -> Column:
-            quick = F.forall(gs, plain) & (together | ~nested)
-            return F.when(quick, F.aggregate(gs, _col(text), replaced)).otherwise(
-                F.aggregate(e, _col(text), lambda acc, x: F.replace(acc, x["token"], x["value"])))
-
-        return F.get(F.transform(F.array(groups), decided), 0)
-
-    return F.when(F.size(e) == 0, _col(text)).otherwise(F.get(F.transform(F.array(F.transform(e, parsed)), rebuilt), 0))
+    given = F.array(F.struct(_col(text).alias("t"), _col(entries).alias("e")))
+    return F.get(F.call_function("transform", given, F.expr(f"x -> {_restored(reverse)}")), 0)
 
 
 def without_types(entries: ColumnOrName, types: list[str]) -> Column:
