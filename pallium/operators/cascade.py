@@ -226,16 +226,51 @@ def token_vault(df: DataFrame, key_cols: list[str], entries_col: str = "entries"
     )
 
 
+def census_sketches(vault: DataFrame, doc_number: str, group_col: str) -> DataFrame:
+    """Per (group, entity type) the entities and the set of documents, as
+    exact bitmaps: one row for each 32,768 document numbers that occur.
+
+    ``vault`` holds one row per token (D19) carrying ``group_col``, and
+    documents are numbered (``doc_number``, an integer; dense numbers make
+    small bitmaps). Bitmaps are built in the tasks and merged by key, so a
+    document's tokens need not meet (tokens of a null document count, it
+    doesn't), and sketches of several tables, days for
+    instance, can be stored and added up by :func:`merge_sketches`."""
+    number = F.col(doc_number).cast("bigint")
+    return vault.groupBy(group_col, "entity_type", F.bitmap_bucket_number(number).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("docs"))
+
+
+def merge_sketches(sketches: DataFrame, group_col: str) -> DataFrame:
+    """Sketches of several tables (a union of them) as those of all: a document
+    that occurs in more than one counts once."""
+    return sketches.groupBy(group_col, "entity_type", "bucket").agg(
+        F.sum("n").cast("bigint").alias("n"), F.bitmap_or_agg("docs").alias("docs"))
+
+
+def census_of(sketches: DataFrame, group_col: str) -> DataFrame:
+    """D20 from sketches: entities and distinct documents per (group, entity
+    type), per group and in all. Subtotals merge bitmaps; no document is
+    looked at again."""
+    levels = [[group_col, "entity_type", "bucket"], [group_col, "bucket"], ["bucket"]]
+    merged = sketches.groupingSets([[F.col(c) for c in level] for level in levels], F.col(group_col), F.col("entity_type"),
+                                   F.col("bucket")).agg(
+        F.grouping_id().alias("__level"), F.sum("n").alias("n"), F.bitmap_count(F.bitmap_or_agg("docs")).alias("n_docs"))
+    counted = merged.groupBy("__level", group_col, "entity_type").agg(
+        F.sum("n").cast("bigint").alias("n_entities"), F.sum("n_docs").cast("bigint").alias("n_docs"))
+    return counted.select(group_col, "entity_type", "n_entities", "n_docs")
+
+
 def pii_census(vault: DataFrame, doc_key: str, group_col: str) -> DataFrame:
     """Documents and entities per (group, entity type) with subtotals.
 
-    ``vault`` holds one row per token (D19) carrying ``group_col``. Tokens
-    are first counted per (document, group, type) -- partial aggregation
-    map-side, one row per document and type -- so the ``rollup``'s row
-    expansion and its distinct-document count work on that much smaller
-    table. The distinct count shuffles on (group, type, document) keys, so a
-    hot group is still spread over tasks.
+    An integer key is taken as the document's number, and documents are
+    counted by bitmaps (:func:`census_of`). Other keys are counted as they
+    are: tokens first per (document, group, type), so that the ``rollup``'s
+    expansion and its distinct count work on that much smaller table.
     """
+    if vault.schema[doc_key].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return census_of(census_sketches(vault, doc_key, group_col), group_col)
     per_doc = vault.groupBy(doc_key, group_col, "entity_type").agg(F.count(F.lit(1)).alias("__n"))
     return per_doc.rollup(group_col, "entity_type").agg(
         F.sum("__n").cast("bigint").alias("n_entities"),
@@ -245,10 +280,13 @@ def pii_census(vault: DataFrame, doc_key: str, group_col: str) -> DataFrame:
 
 __all__ = [
     "CASCADE_PATTERNS",
+    "census_of",
+    "census_sketches",
     "counts_by_type",
     "detect",
     "entity_count",
     "mapping",
+    "merge_sketches",
     "pii_census",
     "token",
     "token_vault",

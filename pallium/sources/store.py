@@ -16,12 +16,13 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pallium.functions.patterns import DEFAULT_PAGE_SIZE
-from pallium.session import ensure_checkpoint_dir
+from pallium.session import pinned
 from pallium.sources.paging import SHALLOW, deep_page
 
 RESULT_SCHEMA = T.StructType(
@@ -52,60 +53,47 @@ def utc_now() -> Column:
 _ROW_BITS = 33
 
 
+def _positions(df: DataFrame) -> DataFrame:
+    """``df`` pinned, each row with its partition and its place in it."""
+    return pinned(df.withColumn("__part", F.spark_partition_id())
+                  .withColumn("__row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))))
+
+
 def assign_ids(df: DataFrame, order_by: list[Column | str], start: int | Column = 1, id_col: str = "id",
                num_partitions: int | None = None) -> DataFrame:
     """Unique, increasing ids in ``order_by`` order, from ``start``.
 
-    Two passes over one pinned layout, with no single-partition window over
-    the data:
-
-    1. range-partition on the full sort key and sort within partitions; tag
-       every row with its partition and its position in it; write this
-       layout to the reliable checkpoint folder, so both passes (and any
-       retry after a lost executor) see the same rows in the same places;
-    2. count rows per partition -- a table with one row per partition, whose
-       size is bounded by the partition count -- turn the counts into running
-       offsets, broadcast them, and add each row's position.
+    The input is read once, into the reliable checkpoint folder, each row with
+    its position. Only sort key and position are then range-partitioned (the
+    range bounds come from the pinned rows) and sorted within partitions; rows
+    per partition, one number each, become running offsets, and offset plus
+    place is the id. The ids join back to the pinned rows by position, a hash
+    join with the narrow side in memory. Rows themselves are never sorted, and
+    no window sees the data in one partition.
 
     Put a unique column last in ``order_by`` so ties are broken and a hot
     leading value is still split over partitions by the range bounds.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = num_partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    laid = (
-        df.repartitionByRange(n, *cols)
-        .sortWithinPartitions(*cols)
-        .withColumn("__part", F.spark_partition_id())
-        .withColumn("__row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
-        .checkpoint(eager=True)
-    )
+    rows = _positions(df)
+    place = [F.col("__part").alias("__of"), F.col("__row").alias("__at")]
+    laid = _positions(rows.repartitionByRange(n, *cols).sortWithinPartitions(*cols).select(*place))
     counts = laid.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(
-        "__part",
-        F.coalesce(
-            F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("__off"),
-    )
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     base = F.lit(start) if isinstance(start, int) else start
-    return (
-        laid.join(F.broadcast(offsets), "__part")
-        .withColumn(id_col, (base + F.col("__off") + F.col("__row")).cast("bigint"))
-        .drop("__part", "__row", "__off")
-    )
+    ids = laid.join(F.broadcast(offsets), "__part").select(
+        F.col("__of").alias("__part"), F.col("__at").alias("__row"), (F.col("__off") + F.col("__row")).alias("__id"))
+    return (rows.join(ids.hint("shuffle_hash"), ["__part", "__row"])
+            .withColumn(id_col, (base + F.col("__id")).cast("bigint")).drop("__part", "__row", "__id"))
 
 
 def number_rows(df: DataFrame, start: int, id_col: str = "id") -> tuple[DataFrame, int]:
     """Unique ids from ``start`` on in the order of the rows' partitions, and
     how many there are. The rows are pinned once, so the input is read once
     and not shuffled."""
-    ensure_checkpoint_dir(df.sparkSession)
-    laid = (
-        df.withColumn("__part", F.spark_partition_id())
-        .withColumn("__row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
-        .checkpoint(eager=True)
-    )
+    laid = _positions(df)
     # One row per partition.
     counts = sorted(tuple(r) for r in laid.groupBy("__part").count().collect())
     offsets, total = [], 0
@@ -233,14 +221,19 @@ def export_json(df: DataFrame, path: str) -> None:
     df.select(F.col("*")).select(to_json_lines(df).alias("value")).write.mode("overwrite").text(path)
 
 
+#: Parts below this size are compacted.
+COMPACT_BYTES = 128 << 20
+
+
 # S7, S8, Q7 on a versioned parquet table ----------------------------------------
 class ResultStore:
-    """The stored results: create, append, read, delete, purge.
+    """The stored results: create, append, read, delete, compact, purge.
 
     Layout: ``<root>/parts/<name>/`` parquet folders and
-    ``<root>/manifests/<version>``, JSON with the parts of that version and the
-    high-water mark of ids. The newest manifest is current. Two writers that
-    publish the same version at once cannot both succeed.
+    ``<root>/manifests/<version>``, JSON with the parts of that version (whole
+    folders, or single files ``<name>/<file>`` of those that a delete left
+    standing) and the high-water mark of ids. The newest manifest is current.
+    Two writers that publish the same version at once cannot both succeed.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -275,7 +268,10 @@ class ResultStore:
         return json.loads(text)
 
     def _publish(self, old: dict, parts: list[str], high: int) -> None:
-        """Write the next manifest aside and rename it into place."""
+        """Write the next manifest aside, whole, and rename it into place. The
+        rename never overwrites: of two writers of a version one fails. That is
+        atomic where the file system's rename is (HDFS, and stores whose
+        connector has one); on a local folder it is a test and a rename."""
         version = old["version"] + 1
         content = json.dumps({"version": version, "parts": parts, "high": high})
         fs, aside = self._hadoop("manifests", f".{version}-{uuid.uuid4().hex}")
@@ -283,8 +279,16 @@ class ResultStore:
         stream.write(bytearray(content.encode("utf-8")))
         stream.close()
         place = self._hadoop("manifests", str(version))[1]
-        if fs.exists(place) or not fs.rename(aside, place):
-            raise RuntimeError(f"version {version} of {self.root} was published by another writer")
+        sc = self.spark.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs
+        options = sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        try:
+            hadoop.FileContext.getFileContext(place.toUri(), sc._jsc.hadoopConfiguration()).rename(aside, place, options)
+        except Py4JJavaError as e:
+            fs.delete(aside, False)
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            raise RuntimeError(f"version {version} of {self.root} was published by another writer") from None
 
     def _part(self, name: str) -> str:
         return f"{self.root}/parts/{name}"
@@ -338,31 +342,56 @@ class ResultStore:
         self._publish(old, [*old["parts"], self._write(with_ids)], old["high"] + n)
         return with_ids.select(*(key_cols or []), "id", "original_file")
 
+    def _files(self, entry: str) -> dict[str, int]:
+        """The data files of a part, as ``<name>/<file>`` with their sizes."""
+        fs, path = self._hadoop("parts", entry)
+        name = entry.partition("/")[0]
+        listed = {f"{name}/{f.getPath().getName()}": f.getLen() for f in fs.listStatus(path)}
+        return {k: n for k, n in listed.items() if k.partition("/")[2][0] not in "._"}
+
     def delete(self, requested: DataFrame, req_col: str) -> DataFrame:
         """Q7: delete rows by id; returns ``(requested id, existed)`` computed
-        before the rewrite. Only the parts that hold requested ids are
-        rewritten. Older versions keep the rows until ``purge_versions``."""
+        before the rewrite. Only the files that hold requested ids are
+        rewritten; the other files of their parts stand. Older versions keep
+        the rows until ``purge_versions``."""
         old = self._manifest()
         current = self._rows(old["parts"])
-        ensure_checkpoint_dir(self.spark)
         # Pinned to the reliable checkpoint folder: the answer must describe
         # the table before the rewrite, even if recomputed later.
-        found = delete_found(requested, current, req_col).checkpoint(eager=True)
+        found = pinned(delete_found(requested, current, req_col))
         touched: set[str] = set()
         if old["parts"]:
-            names = current.select("id", F.regexp_extract("_metadata.file_path", "/parts/([^/]+)/", 1).alias("part"))
-            hit = names.join(requested.select(F.col(req_col).alias("id")), "id", "left_semi").select("part").distinct()
-            touched = {r["part"] for r in hit.collect()}  # names of parts
-        kept = [p for p in old["parts"] if p not in touched]
+            names = current.select("id", F.regexp_extract("_metadata.file_path", "/parts/([^/]+/[^/]+)$", 1).alias("file"))
+            hit = names.join(requested.select(F.col(req_col).alias("id")), "id", "left_semi").select("file").distinct()
+            touched = {r["file"] for r in hit.collect()}  # names of files
+        folders = {f.partition("/")[0] for f in touched}
+        kept = [p for p in old["parts"] if p.partition("/")[0] not in folders]
+        standing = [f for p in old["parts"] if p.partition("/")[0] in folders for f in sorted(self._files(p)) if f not in touched]
         if touched:
-            kept.append(self._write(without_ids(self._rows(sorted(touched)), requested, req_col)))
-        self._publish(old, kept, old["high"])
+            standing.append(self._write(without_ids(self._rows(sorted(touched)), requested, req_col)))
+        self._publish(old, kept + standing, old["high"])
         return found
 
+    def compact(self, small: int = COMPACT_BYTES) -> int:
+        """Rewrite parts (and single files) of less than ``small`` bytes into
+        one part, in files of about that size; returns how many went into it.
+        Readers of older versions are not disturbed. Run it now and then: every
+        append adds a part."""
+        old = self._manifest()
+        sizes = {p: sum(self._files(p).values()) for p in old["parts"]}
+        chosen = [p for p in old["parts"] if sizes[p] < small]
+        if len(chosen) < 2:
+            return 0
+        files = max(1, -(-sum(sizes[p] for p in chosen) // small))
+        merged = self._write(self._rows(chosen).coalesce(files))
+        self._publish(old, [*(p for p in old["parts"] if p not in set(chosen)), merged], old["high"])
+        return len(chosen)
+
     def purge_versions(self, keep: int = 1) -> None:
-        """Remove all versions but the newest ``keep``, with the parts that
-        only they hold; deleted rows are gone from the disk then. Parts that
-        failed writes left behind go too, so no other writer may be at work."""
+        """Remove all versions but the newest ``keep``, with the parts and
+        files that only they hold; deleted rows are gone from the disk then.
+        What failed writes left behind goes too, so no other writer may be at
+        work."""
         if keep < 1:
             raise ValueError("the current version cannot be purged")
         versions = self.versions()
@@ -372,5 +401,12 @@ class ResultStore:
             fs.delete(self._hadoop("manifests", str(v))[1], False)
         if fs.exists(folder):
             for f in fs.listStatus(folder):
-                if f.getPath().getName() not in used:
+                name = f.getPath().getName()
+                if name in used:
+                    continue
+                if not any(p.startswith(name + "/") for p in used):
                     fs.delete(f.getPath(), True)
+                    continue
+                for file in self._files(name):
+                    if file not in used:
+                        fs.delete(self._hadoop("parts", file)[1], False)
