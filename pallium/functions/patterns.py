@@ -39,9 +39,8 @@ TOKEN_SUFFIX = "]"
 # Cleaning: control characters replaced by a space (tab, LF, CR excluded).
 CONTROL_CHARS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 
-# Library default label for inline text; default label of a request.
+# Library default label for inline text.
 DEFAULT_INLINE_LABEL = "direct_input"
-DEFAULT_REQUEST_LABEL = "api_input"
 
 # File suffixes accepted, and which reader handles them.
 PAGED_SUFFIXES = [".pdf"]
@@ -55,9 +54,6 @@ MSG_BLANK_TEXT = "No text content provided"
 MSG_BAD_ANSWER = "Failed to parse JSON response"
 MSG_CALL_FAILED = "API call failed: "  # followed by the last error
 
-# Keys of the record stored when an answer is not valid JSON.
-BAD_ANSWER_KEYS = ("error", "raw_content")
-
 # Summary defaults: missing text fields show this word, parties are joined by
 # comma and space.
 SUMMARY_DEFAULT = "Unknown"
@@ -66,18 +62,14 @@ SUMMARY_PARTY_SEPARATOR = ", "
 # Page assembly: non-empty pages joined by one blank line.
 PAGE_SEPARATOR = "\n\n"
 
-# Paging defaults: library and command line, then HTTP.
+# Paging default of the library.
 DEFAULT_PAGE_SIZE = 100
-DEFAULT_HTTP_PAGE_SIZE = 10
 
 # Analyzer calls: attempts, and bounds of the exponential wait in seconds.
 ANALYZE_ATTEMPTS = 3
 ANALYZE_WAIT_MIN = 4.0
 ANALYZE_WAIT_MAX = 10.0
 
-# Short label width.
-LABEL_WIDTH = 50
-
 # Sections of an answer, in order.
 ANSWER_SECTIONS = [
     "key_dates_and_events", "date_dependencies", "simplified_clauses",

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pallium.functions.patterns import MSG_BAD_ANSWER, MSG_BLANK_TEXT
 from pallium.operators import answers as an
@@ -114,6 +115,75 @@ def q_flatten_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A5 for all six sections: an answer per order line, flattened to child tables;
+# a row of a table is shown as its fields, lists joined, nulls marked.
+_SECTION_FIELDS = {f.name: (f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType).fields for f in an.ANSWER_SCHEMA.fields}
+
+
+def _full_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate"),
+                "l_orderkey")
+    key, line = F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")
+    flag, number = F.col("l_returnflag"), F.col("l_linenumber")
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    texts = F.array().cast("array<string>")
+    event = F.struct(day.alias("date"), F.concat(F.lit("line "), line).alias("event"), flag.alias("importance"),
+                     F.when(number % 2 == 0, F.array(key, line)).otherwise(texts).alias("dependencies"))
+    placed = F.struct(F.lit("first").alias("date"), F.lit("placed").alias("event"), F.lit("low").alias("importance"), texts.alias("dependencies"))
+    depends = F.struct(F.concat(F.lit("ship "), line).alias("dependent_event"), F.lit("placed").alias("dependency"), F.lit("after").alias("relationship"))
+    clause = F.struct(key.alias("original_clause"), F.concat(flag, F.lit(" \"quoted\"")).alias("simplified"), F.array(line, flag).alias("key_points"))
+    benefit = F.struct(key.alias("clause"), F.lit("both").alias("benefits_party"), F.lit(None).cast("string").alias("explanation"), flag.alias("risk_level"))
+    summary = F.struct(F.lit("sale").alias("contract_type"), F.array(key, line).alias("main_parties"), day.alias("primary_purpose"),
+                       texts.alias("key_obligations"), F.array(flag).alias("termination_conditions"), F.lit("x").alias("governing_law"))
+    risks = F.struct(F.array(flag, line).alias("high_risk_items"), texts.alias("medium_risk_items"), F.array(day).alias("recommendations"))
+    answer = F.to_json(F.struct(
+        F.array(event, placed).alias("key_dates_and_events"),
+        F.when(number % 2 == 0, F.array(depends)).otherwise(F.array().cast("array<struct<dependent_event:string,dependency:string,relationship:string>>")).alias("date_dependencies"),
+        F.array(clause, clause).alias("simplified_clauses"),
+        F.when(F.col("l_orderkey") % 3 != 0, F.array(benefit)).alias("benefit_analysis"),
+        summary.alias("contract_summary"),
+        F.when(number != 1, risks).alias("risk_assessment"),
+    ))
+    return li.select("l_orderkey", "l_linenumber", answer.alias("raw"))
+
+
+def _shown_sql(*cells: str) -> str:
+    return " || '~' || ".join(f"coalesce({c}, '-')" for c in cells)
+
+
+_DAY = "strftime(l_shipdate, '%Y-%m-%d')"
+_KEY, _LINE = "CAST(l_orderkey AS VARCHAR)", "CAST(l_linenumber AS VARCHAR)"
+_SECTIONS_SQL = [
+    ("key_dates_and_events", "0", "true", _shown_sql(_DAY, f"'line ' || {_LINE}", "l_returnflag",
+                                                     f"CASE WHEN l_linenumber % 2 = 0 THEN {_KEY} || ',' || {_LINE} ELSE '' END")),
+    ("key_dates_and_events", "1", "true", "'first~placed~low~'"),
+    ("date_dependencies", "0", "l_linenumber % 2 = 0", _shown_sql(f"'ship ' || {_LINE}", "'placed'", "'after'")),
+    ("date_dependencies", "-1", "l_linenumber % 2 <> 0", "'-~-~-'"),
+    ("simplified_clauses", "0", "true", _shown_sql(_KEY, "l_returnflag || ' \"quoted\"'", f"{_LINE} || ',' || l_returnflag")),
+    ("simplified_clauses", "1", "true", _shown_sql(_KEY, "l_returnflag || ' \"quoted\"'", f"{_LINE} || ',' || l_returnflag")),
+    ("benefit_analysis", "0", "l_orderkey % 3 <> 0", _shown_sql(_KEY, "'both'", "NULL", "l_returnflag")),
+    ("benefit_analysis", "-1", "l_orderkey % 3 = 0", "'-~-~-~-'"),
+    ("contract_summary", "-1", "true", _shown_sql("'sale'", f"{_KEY} || ',' || {_LINE}", _DAY, "''", "l_returnflag", "'x'")),
+    ("risk_assessment", "-1", "true", "CASE WHEN l_linenumber = 1 THEN '-~-~-' ELSE " + _shown_sql(f"l_returnflag || ',' || {_LINE}", "''", _DAY) + " END"),
+]
+
+
+@query("answer_tables", " UNION ALL ".join(
+    f"SELECT l_orderkey, l_linenumber, '{section}' AS section, CAST({pos} AS BIGINT) AS pos, {shown} AS fields FROM lineitem WHERE {when}"
+    for section, pos, when, shown in _SECTIONS_SQL))
+def q_answer_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["l_orderkey", "l_linenumber"]
+    tables = an.answer_tables(an.parse_answer(_full_answers(spark, sf_dir), "raw"), keys)
+    out = None
+    for section, fields in _SECTION_FIELDS.items():
+        made = tables[section]
+        cells = [F.coalesce(F.array_join(f.name, ",") if isinstance(f.dataType, T.ArrayType) else F.col(f.name), F.lit("-")) for f in fields]
+        pos = F.coalesce("pos", F.lit(-1).cast("bigint")) if "pos" in made.columns else F.lit(-1).cast("bigint")  # -1: no place
+        shown = made.select(*keys, F.lit(section).alias("section"), pos.alias("pos"), F.concat_ws("~", *cells).alias("fields"))
+        out = shown if out is None else out.unionByName(shown)
+    return out
+
+
 # Summaries from orders with fields nulled by key ----------------------------
 @query(
     "summary_view",

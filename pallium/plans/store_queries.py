@@ -159,12 +159,12 @@ def q_assign_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Documents to JSON text and back ----------------------------------------------
 @query(
     "json_export",
-    """SELECT doc_id, text, lang, n_chars, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id), '%Y-%m-%dT%H:%M:%S') AS made
+    """SELECT doc_id, text, lang, source, n_chars, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id), '%Y-%m-%dT%H:%M:%S') AS made
 FROM documents""",
 )
 def q_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.timestamp_seconds(F.col("doc_id") + 1_704_067_200).alias("made")
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars", made)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars", made)
     js = d.select(st.to_json_lines(d).alias("value"))
-    schema = "doc_id bigint, text string, lang string, n_chars bigint, made string"
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, made string"
     return js.select(F.from_json("value", schema).alias("r")).select("r.*")
