@@ -23,6 +23,7 @@ HEADLINE = [
     "token_vault",
     "pii_census",
     "roundtrip",
+    "roundtrip_dense",
     "detokenize_json",
     "tokenize_spans",
     "resolve_overlaps",

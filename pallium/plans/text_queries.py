@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pallium.functions import text as tx
 from pallium.functions.patterns import MSG_BLANK_TEXT
+from pallium.operators import cascade as cz
 from pallium.operators import detokenize as dt
 from pallium.plans import duck
 from pallium.plans.pii_queries import _DOC_CTES, _DOC_LAST, tokenized_documents
@@ -233,6 +234,30 @@ def q_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# T1 on long documents with many tokens: the orders of a thousand keys, a name,
+# an address and a number each, make one text.
+_DENSE = 1000
+
+
+@query(
+    "roundtrip_dense",
+    f"""SELECT CAST(o_orderkey // {_DENSE} AS BIGINT) AS part, CAST(3 * count(*) AS BIGINT) AS n_entities,
+       CAST(sum(length('Ann Lee, u' || CAST(o_custkey AS VARCHAR) || '@corp.example, 10.0.0.' || CAST(o_orderkey % 250 AS VARCHAR) || '.')) + count(*) - 1 AS BIGINT) AS n_chars,
+       true AS lossless
+FROM orders GROUP BY 1""",
+)
+def q_roundtrip_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    line = F.concat(F.lit("Ann Lee, u"), F.col("o_custkey").cast("string"), F.lit("@corp.example, 10.0.0."),
+                    (F.col("o_orderkey") % 250).cast("string"), F.lit("."))
+    part = F.floor(F.col("o_orderkey") / _DENSE).cast("bigint").alias("part")
+    texts = o.groupBy(part).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("lines"))
+    docs = texts.select("part", F.array_join(F.transform("lines", lambda x: x["line"]), " ").alias("text"))
+    tok = cz.tokenize_cascade(spread(docs, "part"))
+    return tok.select("part", F.size("entries").cast("bigint").alias("n_entities"), F.char_length("text").cast("bigint").alias("n_chars"),
+                      (dt.detokenize("tokenized_text", "entries", reverse=True) == F.col("text")).alias("lossless"))
+
+
 # E-mail entries dropped from the mapping ----------------------------------
 @query(
     "partial_detokenize",
