@@ -36,8 +36,9 @@ CELL, MAX_PIVOTS, MAX_ANNULI = 1024, 128, 64
 BLOCK = 2048
 #: The first search stops when its cells hold so many times k vectors.
 AHEAD = 4
-#: Integers up to this are exact in double precision.
-EXACT = 2**53
+#: Integers up to this are exact in double precision; sums of products below
+#: this in a long; components are held within this.
+EXACT, FITS, FAR = 2**53, 2**63, 2**62
 
 
 @dataclass
@@ -77,7 +78,19 @@ class Index:
         square = (x * x).sum(axis=1)[:, None] + self.top
         slack = 1e-6 * np.sqrt(square)
         least = np.maximum(np.maximum(d - high, low - d) - slack, 0)
-        return (square - least**2) / 2 + 1e-9 * square
+        return np.maximum((square - least**2) / 2 + 1e-9 * square, -float(FITS))
+
+
+def scores(q: np.ndarray, x: np.ndarray, exact: bool) -> np.ndarray:
+    """Inner products of all rows of q and x: by doubles where those are exact,
+    by longs where they fit, else by Python's integers, held within a long."""
+    if exact:
+        return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
+    peaks = [max(int(v.max(initial=0)), -int(v.min(initial=0))) for v in (q, x)]
+    if peaks[0] * peaks[1] * max(q.shape[1], 1) < FITS:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    made = q.astype(object) @ x.astype(object).T
+    return np.clip(made, -FITS, FITS - 1).astype(np.int64)
 
 
 def integers(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -87,7 +100,8 @@ def integers(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return (rows.select(F.col(id_col).cast("long").alias("vec_id"), e.alias("e"))
             .filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & ~bad)
-            .select("vec_id", F.transform("e", lambda x: F.floor(x * SCALE).cast("long")).alias("vec")))
+            .select("vec_id", F.transform("e", lambda x: F.floor(F.least(F.greatest(x * SCALE, F.lit(-float(FAR))), F.lit(float(FAR))))
+                                          .cast("long")).alias("vec")))
 
 
 def _padded(vectors: list, dim: int) -> np.ndarray:
@@ -165,8 +179,7 @@ def _searcher(index: Index, k: int):
     rows (asks = 0) come before its queries (asks = 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, data = None, np.zeros(0, np.int64), np.zeros((0, index.dim))
-        kind = np.float64 if index.exact else np.int64
+        block, ids, data = None, np.zeros(0, np.int64), np.zeros((0, index.dim), np.int64)
         for batch in batches:
             cell, part, asks = (np.asarray(batch.column(i)) for i in range(3))
             ends = np.flatnonzero((np.diff(cell) != 0) | (np.diff(part) != 0) | (np.diff(asks) != 0)) + 1
@@ -184,9 +197,8 @@ def _searcher(index: Index, k: int):
                 if block != (cell[s], part[s]):
                     continue  # this block holds no rows
                 least = [-(2**63) if v is None else v for v in batch.column(5)[s:e].to_pylist()]
-                wide = data.astype(kind)
                 for at in range(0, len(x), 256):
-                    score = (x[at:at + 256].astype(kind) @ wide.T).astype(np.int64)
+                    score = scores(x[at:at + 256], data, index.exact)
                     out_q, out_v, out_s = [], [], []
                     for row in range(len(score)):
                         own = run_ids[at + row]
@@ -194,7 +206,7 @@ def _searcher(index: Index, k: int):
                         if len(may) > k:
                             floor = np.partition(score[row][may], len(may) - k)[len(may) - k]
                             may = may[score[row][may] >= floor]
-                        may = may[np.lexsort((ids[may], -score[row][may]))[:k]]
+                        may = may[np.lexsort((ids[may], ~score[row][may]))[:k]]
                         out_q.append(np.full(len(may), own))
                         out_v.append(ids[may])
                         out_s.append(score[row][may])
@@ -213,8 +225,9 @@ def search(rows: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id",
     Rows with a null id, or a vector that is null or holds null or non-finite
     components, take no part. Shorter vectors score as if they ended in zeros.
     A repeated row is a further candidate; a query id that repeats is asked
-    once, and no row with the query's id answers it. Scores are exact as long
-    as they fit a long.
+    once, and no row with the query's id answers it. Scores are exact; one that
+    no long holds is held at the long's end. Components whose integer would be
+    beyond 2**62 are held there.
     """
     spark = rows.sparkSession
     vectors = integers(rows, id_col, vec_col)
