@@ -75,15 +75,17 @@ def format_chats(rows: DataFrame, template: Template = CHATML) -> DataFrame:
 
     Turns are ordered by turn, then role, then text, so that ties and repeated
     rows have one order; a null turn comes first. Null texts and roles count as
-    empty, a null conv_id is a conversation of its own, and conversations that
-    the machine rejects are formatted all the same. Roles are URL-encoded in
+    empty, each row with a null conv_id is a conversation of its own, and
+    conversations that the machine rejects are formatted all the same. Roles are URL-encoded in
     the output, which leaves plain names as they are. Only conv_id, turn, role
     and text are read.
     """
     t = template
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"),
                     F.coalesce("text", F.lit("")).alias("text"))
-    grouped = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(
+    # Rows without an id are no group, which might be of any size.
+    own = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    grouped = rows.select("conv_id", own.alias("own"), turn.alias("t")).groupBy("conv_id", "own").agg(
         F.sort_array(F.collect_list("t")).alias("turns"))
 
     def segments(x: Column) -> Column:
