@@ -30,11 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
     Cuts the lineage: later jobs read the files, whichever executors are lost.
+    The files are removed when the application ends.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/pallium-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Results are computed when they are wanted, so the files go with the application.
+    if hasattr(spark, "_jvm"):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,6 +62,17 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(s, rows)
 
 
+def give_back() -> None:
+    """Return a worker's free memory to the system: workers stay for later
+    tasks, and their peaks would add up beside the JVM's heap."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def packed(values: np.ndarray, kind: str) -> bytes:
     """Little-endian bytes of an array, for a binary column."""
     return np.ascontiguousarray(values, dtype=kind).tobytes()
@@ -88,6 +104,8 @@ def streamed_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> I
             held.append(batch.slice(a, b - a))
     if current is not None:
         yield current, pa.Table.from_batches(held)
+    held = []
+    give_back()
 
 
 def fixed_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

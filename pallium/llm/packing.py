@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pallium.llm.common import column_of, cut, id_and_text, read_shipped, slices
+from pallium.llm.common import column_of, cut, give_back, id_and_text, read_shipped, slices
 from pallium.llm.encoding import byte_bpe
 
 CAPACITY = 1024
@@ -70,6 +70,7 @@ def _cutter(content, keep_ids: bool):
             arrays = [pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)]
             n = len(out) if keep_ids else len(out) - 1
             yield pa.RecordBatch.from_arrays(arrays[:n], names=list(out)[:n])
+        give_back()
 
     return run
 

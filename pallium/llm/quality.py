@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pallium.llm.common import column_of, id_and_text
+from pallium.llm.common import column_of, give_back, id_and_text, slices
 
 #: Labelled documents of each label, and excerpts of each, used for training.
 SAMPLE, EXCERPTS = 1000, 4
@@ -174,11 +174,14 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Network:
     """Train on labelled documents outside the held-out fifth.
 
-    Without examples of both labels the network has no weights, and every text
-    scores the share of label 1 (0.5 without any label).
+    Of labels that repeat an id the lowest counts, of documents that do the one
+    with the least hash of its text. Without examples of both labels the
+    network has no weights, and every text scores the share of label 1 (0.5
+    without any label).
     """
     known = (labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality"))
-             .filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
+             .filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+             .groupBy("doc_id").agg(F.min("quality").alias("quality")))
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     network = Network(prior=counts.get(1, 0) / sum(counts.values()) if counts else 0.5)
     if len(counts) < 2:
@@ -193,7 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     room = F.greatest(F.octet_length("data") - size, F.lit(0))
     excerpts = F.transform(F.sequence(F.lit(0), F.lit(EXCERPTS - 1)), lambda i: F.substring(
         "data", F.floor(room * i / (EXCERPTS - 1)).cast("int") + 1, F.lit(size)))
-    rows = (id_and_text(docs, id_col, text_col).join(chosen, "doc_id").withColumn("data", F.col("text").cast("binary"))
+    first = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    rows = (id_and_text(docs, id_col, text_col).join(chosen, "doc_id").groupBy("doc_id", "quality").agg(first)
+            .withColumn("data", F.col("text").cast("binary"))
             .filter(F.octet_length("data") > 0).select("doc_id", "quality", F.array_distinct(excerpts).alias("x")).collect())
     rows.sort(key=lambda r: (r.doc_id, r.quality, r.x))
     symbols = np.stack([symbols_of(bytes(e)) for r in rows for e in r.x]) if rows else np.zeros((0, size), np.int16)
@@ -211,7 +216,7 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     not read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = network.scores(column_of(batch, "data"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
@@ -224,6 +229,8 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
 def accepted(text: Column, network: Network, accept: float = ACCEPT) -> Column:
     """Whether texts (null: empty) score high enough to stay."""
     def decide(texts: pd.Series) -> pd.Series:
-        return pd.Series(network.scores(texts.tolist()) >= accept, index=texts.index)
+        scores = [network.scores(texts[s:s + 500].tolist()) for s in range(0, len(texts), 500)]
+        give_back()
+        return pd.Series(np.concatenate([np.zeros(0), *scores]) >= accept, index=texts.index)
 
     return F.pandas_udf(decide, "boolean")(F.coalesce(text, F.lit("")).cast("binary"))
