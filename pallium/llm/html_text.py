@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from pallium.llm.common import column_of
 
+#: Quotes count after an equals sign; one without a partner is a character like others.
 _TAG = re.compile(
-    r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,4096}"|'[^']{0,4096}')*+|[^>]*)>|[!?/][^>]*>)""", re.S)
+    r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)|[!?/][^>]*>)""", re.S)
 _UNFINISHED = re.compile("<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
@@ -51,8 +52,12 @@ BOILERPLATE_WORDS = frozenset(
     "cookies copyright dialog footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices "
     "pagination popup promo promotion recommended related search share sharing sidebar signup social sponsor sponsored "
     "subscribe toolbar widget".split())
+#: Such words in a name say what its part is, unless the part holds the article or most of the page.
+SAYING = frozenset(
+    "ad ads advert advertisement adverts comment commentlist comments consent cookie cookies disqus gdpr newsletter notice "
+    "notices promo promotion replies respond responses sidebar sponsor sponsored subscribe".split())
 #: Comments of readers, if they are a whole name (but for numbers); in a longer name, a hint.
-COMMENT_WORDS = frozenset("comment commentlist comments disqus replies reply respond".split())
+COMMENT_WORDS = frozenset("comment commentlist comments disqus replies reply respond responses".split())
 #: Elements that hold the page or its article, whatever their class says.
 HOLDERS = {"html", "body", "main", "article"}
 #: Besides <article>, <main> and role=main, these whole names mark the article.
@@ -75,6 +80,7 @@ class Block:
     heading: bool
     part: int
     named: bool = False
+    said: bool = False
     share: float = 1.0
     place: int = 0
     mark: float = 0.0
@@ -99,10 +105,12 @@ class Entry:
 
 @dataclass
 class Part:
-    """A part with a name of boilerplate, or an article in one."""
+    """A part with a name of boilerplate, or an article in one; whether the
+    name says what it is."""
 
     parent: int
     article: bool
+    said: bool = False
     words: int = 0
 
 
@@ -128,7 +136,8 @@ def blocks_of(page: str) -> list[Block]:
         if whole:
             linked = sum(len(html.unescape(t).split()) for t, a in text if a)
             in_ = stack[-1] if stack else Entry()
-            blocks.append(Block(whole, whole.count(" ") + 1, linked, in_.region, in_.boilerplate, heading,
+            words = whole.count(" ") + 1 if any(map(str.isalnum, whole)) else 0
+            blocks.append(Block(whole, words, min(linked, words), in_.region, in_.boilerplate, heading,
                                 in_.heading_part if heading else in_.part))
         text = []
 
@@ -249,7 +258,7 @@ def _entered(name: str, rest: str, outer: Entry, parts: list[Part], regions: int
     part, heading_part = outer.part, outer.heading_part
     hints = words & (BOILERPLATE_WORDS | COMMENT_WORDS) if name not in HOLDERS else set()
     if hints or name in ("article", "main") and part >= 0:
-        parts.append(Part(part, not hints))
+        parts.append(Part(part, not hints, bool(hints & SAYING)))
         part = len(parts) - 1
         if hints != {"header"} or outer.region < 0:
             heading_part = part
@@ -269,16 +278,18 @@ def _weigh(blocks: list[Block], parts: list[Part]) -> None:
     for p in reversed(parts):
         if p.parent >= 0:
             parts[p.parent].words += p.words
-    weighed: list[tuple[bool, float]] = []
+    weighed: list[tuple[bool, bool, float]] = []
     for p in parts:
         share = p.words / page if page else 1.0
+        outer = weighed[p.parent] if p.parent >= 0 else (False, False, 1.0)
         if p.article:
-            weighed.append((False, 1.0) if share >= ARTICLE_SHARE else weighed[p.parent])
+            weighed.append((False, False, 1.0) if share >= ARTICLE_SHARE and not outer[1] else outer)
         else:
-            weighed.append((True, share))
+            # What is in a part that says so is of it, whatever its own name.
+            weighed.append((True, outer[1] or p.said and share < MOST, share))
     for b in blocks:
         if b.part >= 0:
-            b.named, b.share = weighed[b.part]
+            b.named, b.said, b.share = weighed[b.part]
 
 
 def _mark(blocks: list[Block], regions: int) -> None:
@@ -289,7 +300,7 @@ def _mark(blocks: list[Block], regions: int) -> None:
         return
     own, linked, page = [0] * regions, [0] * regions, 0
     for b in blocks:
-        if not b.dropped and not (b.named and b.share < MOST):
+        if not b.dropped and not b.said and not (b.named and b.share < MOST):
             page += b.words - b.linked
             if b.region >= 0:
                 own[b.region] += b.words - b.linked
@@ -310,17 +321,18 @@ FEATURES = ("words", "density", "words_before", "density_before", "words_after",
 def features(blocks: list[Block]) -> np.ndarray:
     """A row per block. ``place``: 1 in the article, -1 outside it, 0 if the
     page marks none; the marked regions have ``mark`` of the page's unlinked
-    words. ``boilerplate``: 2 in such an element, 1 in a part with such a name
-    or a card, which has ``share`` of them."""
+    words. ``boilerplate``: 2 in such an element or a small part whose name
+    says so, 1 in a part with a name that hints at it or a card, which has
+    ``share`` of them."""
     own = [(b.words, b.linked / b.words if b.words else 0.0) for b in blocks]
     rows = []
     for i, b in enumerate(blocks):
         before, after = own[i - 1] if i else (0, 0.0), own[i + 1] if i + 1 < len(own) else (0, 0.0)
-        rows.append([*own[i], *before, *after, b.place, 2 if b.dropped else int(b.named), b.heading, b.share, b.mark])
+        rows.append([*own[i], *before, *after, b.place, 2 if b.dropped or b.said else int(b.named), b.heading, b.share, b.mark])
     return np.array(rows, dtype=float).reshape(-1, len(FEATURES))
 
 
-ANY_SIZE, SHORT, LONG = (1, 4, 12, 16, 40, 60, 150), (1, 4, 12), (16, 40, 150)
+ANY_SIZE, SHORT, LONG = (0, 1, 4, 12, 16, 40, 60, 150), (1, 4, 12), (16, 40, 150)
 NOTICE, PROSE = (1, 4, 12, 16, 40), (60, 150)
 ANY_DENSITY, ENDS = (0.0, 0.2, 0.7, 1.0), (0.0, 1.0)
 EDGE, SOME, NONE = (0, 2, 40), (0.0, 0.7, 1.0), (0.0,)
@@ -344,12 +356,15 @@ PARTS = (
     ("outside of the article", ANY_SIZE, ANY_DENSITY, EDGE, EDGE, ENDS, OUTSIDE, 0, 0, 0),
     ("heading outside of the article", SHORT, ANY_DENSITY, EDGE, EDGE, ENDS, OUTSIDE, 0, 1, 0),
     ("paragraph of an unmarked page or beside a weak mark", LONG, (0.0, 0.2), EDGE, EDGE, SOME, FREE, 0, 0, 1),
-    ("short line between paragraphs", SHORT, (0.0, 0.2), (20, 60), (20, 60), NONE, FREE, 0, 0, 1),
+    ("short line beside unlinked text", SHORT, (0.0, 0.2), EDGE, EDGE, NONE, FREE, 0, 0, 1),
+    ("short line after a paragraph, before links", SHORT, (0.0, 0.2), (20, 60), EDGE, (0.2,), FREE, 0, 0, 1),
     ("heading before a paragraph", SHORT, NONE, EDGE, (20, 60), SOME, FREE, 0, 1, 1),
+    ("heading before short lines", SHORT, NONE, EDGE, (1, 2, 12), NONE, FREE, 0, 1, 1),
+    ("signs without a word", (0,), NONE, EDGE, EDGE, SOME, FREE, 0, 0, 0),
     ("menu of an unmarked page", SHORT, (0.7, 1.0), EDGE, EDGE, SOME, FREE, 0, 0, 0),
     ("list of teasers", LONG, (0.7, 1.0), EDGE, EDGE, SOME, FREE, 0, 0, 0),
-    ("label among menus", SHORT, NONE, (0, 2), EDGE, SOME, FREE, 0, 0, 0),
-    ("heading of a menu", SHORT, NONE, EDGE, (0, 2), SOME, FREE, 0, 1, 0),
+    ("label among menus", SHORT, NONE, EDGE, EDGE, (0.7, 1.0), FREE, 0, 0, 0),
+    ("heading of a menu", SHORT, NONE, EDGE, (1, 2), (0.7, 1.0), FREE, 0, 1, 0),
 )
 #: Boilerplate and share: of its elements; of named parts, small; of parts without such a name, and named ones that hold most.
 SHARES = {2: ((2, 0.0), (2, 1.0)), 1: ((1, 0.0), (1, 0.1), (1, 0.4)), 0: ((0, 1.0), (1, 0.6), (1, 1.0))}
