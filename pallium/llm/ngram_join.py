@@ -51,6 +51,8 @@ VERIFY_COST = 0.05
 #: Shingles of a chunk of documents, of a bucket of the hash space, entries of
 #: a block of a long list, followers in a part.
 CHUNK, BUCKET, BLOCK, PART = 1 << 18, 1 << 18, 256, 256
+#: Bits of a document's mark, a hashed bitmap of its whole set.
+MARK = 2048
 #: Pairs up to this many are joined to the texts by broadcast, more by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Rounds in which documents are verified against leaders before all pairs are:
@@ -108,8 +110,16 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
+def marked(shingles: np.ndarray) -> bytes:
+    """A bitmap of a set; the upper bits of the hashes are not used, as only
+    the lowest hashes of a set are listed."""
+    bits = np.zeros(MARK, np.uint8)
+    bits[(shingles & np.uint64(MARK - 1)).astype(np.intp)] = 1
+    return np.packbits(bits).tobytes()
+
+
 _CHUNK_TYPE = ("chunk long, ids array<long>, sizes array<int>, kept array<int>, s1 array<long>, s2 array<long>, "
-               "tokens binary")
+               "tokens binary, marks array<binary>")
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +128,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     task, made = TaskContext.get().partitionId(), 0
-    ids, sizes, kept, sigs, tokens, seen, held = [], [], [], [], [], set(), 0
+    ids, sizes, kept, sigs, tokens, marks, seen, held = [], [], [], [], [], [], set(), 0
 
     def flush():
         sig = np.frombuffer(b"".join(sigs), "<i8").reshape(-1, 2)
@@ -126,8 +136,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array([(task << 32) + made], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
              pa.array([sizes], pa.list_(pa.int32())), pa.array([kept], pa.list_(pa.int32())),
              pa.array([sig[:, 0].tolist()], pa.list_(pa.int64())), pa.array([sig[:, 1].tolist()], pa.list_(pa.int64())),
-             pa.array([b"".join(tokens)], pa.binary())],
-            names=["chunk", "ids", "sizes", "kept", "s1", "s2", "tokens"])
+             pa.array([b"".join(tokens)], pa.binary()), pa.array([marks], pa.list_(pa.binary()))],
+            names=["chunk", "ids", "sizes", "kept", "s1", "s2", "tokens", "marks"])
 
     for batch in batches:
         for doc_id, text in zip(column_of(batch, "doc_id"), batch.column(1), strict=True):
@@ -144,11 +154,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(first)
             sigs.append(sig)
             tokens.append(packed(s[:first], "<u8"))
+            marks.append(marked(s) if first else None)
             held += first + 16
             if held >= CHUNK:
                 yield flush()
                 made += 1
-                ids, sizes, kept, sigs, tokens, seen, held = [], [], [], [], [], set(), 0
+                ids, sizes, kept, sigs, tokens, marks, seen, held = [], [], [], [], [], [], set(), 0
     if ids:
         yield flush()
 
@@ -267,6 +278,19 @@ def _leader_pairs(entries: DataFrame, tried: DataFrame | None, leaders: int, tri
     return counted.withColumn("place", F.row_number().over(choice)).filter(F.col("place") <= tries).select("a", "b")
 
 
+def reachable(bits: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the marks of documents x and y allow a link: every bit that one
+    has alone stands for a shingle, at least, that the other lacks."""
+    out = np.empty(len(x), bool)
+    filled = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    for s in range(0, len(x), 1 << 15):
+        a, b = x[s:s + (1 << 15)], y[s:s + (1 << 15)]
+        common = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(n[a] - filled[a], n[b] - filled[b]) + common
+        out[s:s + len(a)] = most * (100 + PERCENT) >= PERCENT * (n[a] + n[b])
+    return out
+
+
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs across components that share an entry of a list, counted per task."""
     held, rows = [], 0
@@ -286,6 +310,10 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         need = demanded(n[x], l[x], n[y], l[y], np.minimum)
         able = np.minimum(m[x], m[y]) >= need
         x, y, need = x[able], y[able], need[able]
+        if len(x):
+            bits = np.frombuffer(b"".join(group["mark"].to_pylist()), np.uint64).reshape(len(doc), -1)
+            close = reachable(bits, n, x, y)
+            x, y, need = x[close], y[close], need[close]
         if len(x):
             held.append(np.column_stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y]), need]))
             rows += len(x)
@@ -296,16 +324,20 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _all_pairs(entries: DataFrame) -> DataFrame:
-    """Every pair across components that shares as many prefix shingles as is demanded."""
+def _all_pairs(entries: DataFrame, marks: DataFrame) -> DataFrame:
+    """Every pair across components that shares as many prefix shingles as is
+    demanded and whose marks allow a link."""
     lists = (entries.groupBy("hash").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("rows"))
              .filter("c0 <> c1").select("hash", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")))
     cell = ["hash", "i", "j"]
-    cells = (entries.join(lists, "hash").withColumn("mine", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    crossing = entries.join(lists, "hash").join(marks, "doc")
+    cells = (crossing.withColumn("mine", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
              .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
              .select("hash", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc",
-                     "comp", "n", "l", "m"))
-    pairs = (cells.repartition(*cell).sortWithinPartitions(*cell, "doc")
+                     "comp", "n", "l", "m", "mark"))
+    # By number: the rows are few for the work they make, and would be coalesced by their bytes.
+    tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = (cells.repartition(tasks, *cell).sortWithinPartitions(*cell, "doc")
              .mapInArrow(_crossing, "a long, b long, need long, shared long"))
     return (pairs.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared"))
             .filter("shared >= need").select("a", "b"))
@@ -391,6 +423,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
              .union(idle.select("chunk", F.lit(2), none["array<long>"], none["array<int>"], "kept", none["binary"], none["binary"])))
     entries = cut(parts.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_prefixes, _ENTRY_TYPE))
 
+    # Versions of one id have a mark each; a pair stays if any two of theirs allow it.
+    marks = (chunks.select(F.explode(F.arrays_zip("ids", "marks")).alias("m")).filter("m.marks is not null")
+             .select(F.col("m.ids").alias("doc"), F.col("m.marks").alias("mark")))
     links = comps = tried = None
     for step in (*LEADER_ROUNDS, None):
         if comps is None:
@@ -398,7 +433,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         else:
             current = cut(entries.join(comps, entries["doc"] == comps["id"], "left").withColumn(
                 "comp", F.coalesce("component", "doc")).drop("id", "component"))
-        pairs = cut(_leader_pairs(current, tried, *step) if step else _all_pairs(current))
+        pairs = cut(_leader_pairs(current, tried, *step) if step else _all_pairs(current, marks))
         tried = pairs if tried is None else tried.union(pairs)
         new = _verified(pairs, texts)
         if links is not None and new.isEmpty():
