@@ -21,7 +21,13 @@ ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality classifier rejects."""
+    """Drop the documents that the quality classifier rejects.
+
+    Null and empty texts score the share of good labels, and stay if that is
+    enough; a null id has no label; rows that repeat an id are judged each by
+    its own text. An empty table, or one without labels of both kinds, loses
+    only what such a score rejects. Other columns pass as they are.
+    """
     network = quality.fit(docs, table(spark, sf_dir, "labels"))
     return docs.filter(quality.accepted(F.col("text"), network))
 
@@ -56,7 +62,11 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every secret in the texts; all documents stay."""
+    """Replace every secret in the texts; all documents stay.
+
+    A null text stays null, repeated rows and null ids are rows like others,
+    and ``n_chars``, where there is one, follows the new text.
+    """
     made = docs.withColumn("text", secrets.redacted(F.col("text")))
     if "n_chars" not in docs.columns:
         return made
@@ -65,7 +75,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents' tokens into sequences."""
+    """Pack the documents' tokens into sequences.
+
+    A null or empty text is its closing id alone; repeated rows and null ids
+    are packed like others; an empty table gives no pieces.
+    """
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
