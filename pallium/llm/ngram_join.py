@@ -21,9 +21,9 @@ How the work is kept small and even:
 * Shingles of a single document can match nothing and are dropped.
 * Documents are first verified against leaders of their lists, those with the
   most shared shingles in their prefix. What is then linked needs no further
-  pairs; only pairs across components remain, and those are counted, filtered
-  and verified all. Long lists are dealt out in pairs of blocks, and a leader's
-  many followers in parts.
+  pairs; only pairs across components remain, and those are met in the first
+  list that they share, filtered and verified all. Long lists are dealt out in
+  pairs of blocks, and a leader's many followers in parts.
 """
 
 from __future__ import annotations
@@ -53,6 +53,8 @@ VERIFY_COST = 0.05
 CHUNK, BUCKET, BLOCK, PART = 1 << 18, 1 << 18, 256, 256
 #: Bits of a document's mark, a hashed bitmap of its whole set.
 MARK = 2048
+#: Entries of a document by which its pairs are known from earlier lists.
+FIRST = 3
 #: Pairs up to this many are joined to the texts by broadcast, more by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Rounds in which documents are verified against leaders before all pairs are:
@@ -291,31 +293,51 @@ def reachable(bits: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) ->
     return out
 
 
+def _met_before(first: np.ndarray, rank: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether documents x and y share an entry among their first ones that
+    comes before this one."""
+    out = np.empty(len(x), bool)
+    place = np.arange(first.shape[1])
+    for s in range(0, len(x), 1 << 14):
+        a, b = x[s:s + (1 << 14)], y[s:s + (1 << 14)]
+        same = first[a][:, :, None] == first[b][:, None, :]
+        same &= (place < rank[a][:, None])[:, :, None]
+        same &= (place < rank[b][:, None])[:, None, :]
+        out[s:s + len(a)] = same.any(axis=(1, 2))
+    return out
+
+
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components that share an entry of a list, counted per task."""
+    """Pairs across components, each in the first list that both are in."""
     held, rows = [], 0
 
     def flush():
-        pairs, count = np.unique(np.concatenate(held), axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2]),
-                                           pa.array(count.astype(np.int64))], names=["a", "b", "need", "shared"])
+        pairs = np.unique(np.concatenate(held), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     for key, group in streamed_groups(batches, ["hash", "i", "j"]):
-        doc, comp, n, l, m, mine = (group[c].to_numpy().astype(np.int64) for c in ("doc", "comp", "n", "l", "m", "mine"))
+        doc, comp, n, l, left, rank, mine = (group[c].to_numpy().astype(np.int64)
+                                             for c in ("doc", "comp", "n", "l", "left", "rank", "mine"))
         may = np.triu(comp[:, None] != comp[None, :], 1)
         if key[1] != key[2]:
             may &= mine[:, None] != mine[None, :]
         may &= np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * PERCENT
         x, y = np.nonzero(may)
-        need = demanded(n[x], l[x], n[y], l[y], np.minimum)
-        able = np.minimum(m[x], m[y]) >= need
-        x, y, need = x[able], y[able], need[able]
+        # In the first list that a pair shares, all it shares is still left.
+        able = np.minimum(left[x], left[y]) >= demanded(n[x], l[x], n[y], l[y], np.minimum)
+        x, y = x[able], y[able]
         if len(x):
             bits = np.frombuffer(b"".join(group["mark"].to_pylist()), np.uint64).reshape(len(doc), -1)
             close = reachable(bits, n, x, y)
-            x, y, need = x[close], y[close], need[close]
+            x, y = x[close], y[close]
+        if len(x):
+            first = np.zeros((len(doc), FIRST), np.int64)
+            for row, found in zip(first, group["first"].to_pylist(), strict=True):
+                row[:len(found)] = found
+            new = ~_met_before(first, rank, x, y)
+            x, y = x[new], y[new]
         if len(x):
-            held.append(np.column_stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y]), need]))
+            held.append(np.column_stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])]))
             rows += len(x)
         if rows > 500_000:
             yield flush()
@@ -324,23 +346,40 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _all_pairs(entries: DataFrame, marks: DataFrame) -> DataFrame:
-    """Every pair across components that shares as many prefix shingles as is
-    demanded and whose marks allow a link."""
+def _crossing_pairs(entries: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs across components that may share as many prefix shingles as is
+    demanded and whose marks allow a link, once each but for those that share
+    none of their first entries.
+
+    A document's entries in lists of several components are ranked, rare ones
+    first, the same way in all documents. A pair's first common entry has all
+    that it shares at its rank or after, so lists where less is left than is
+    demanded pass it over, and later lists do if one of the first entries is common.
+    """
     lists = (entries.groupBy("hash").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("rows"))
              .filter("c0 <> c1").select("hash", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")))
+    # By version: those of one id differ in size and entries.
+    ranked = (entries.join(lists, "hash").repartition("doc").groupBy("doc", "comp", "n", "l", "m")
+              .agg(F.sort_array(F.collect_list(F.struct("df", "hash", "blocks"))).alias("all")))
+    crossing = (ranked.join(marks, "doc")
+                .select("doc", "comp", "n", "l", "mark", F.size("all").alias("count"), F.slice("all.hash", 1, FIRST).alias("first"),
+                        F.posexplode("all").alias("rank", "entry"))
+                .select("doc", "comp", "n", "l", "mark", "first", "rank", (F.col("count") - F.col("rank")).alias("left"),
+                        "entry.hash", "entry.blocks"))
     cell = ["hash", "i", "j"]
-    crossing = entries.join(lists, "hash").join(marks, "doc")
     cells = (crossing.withColumn("mine", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
              .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
              .select("hash", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc",
-                     "comp", "n", "l", "m", "mark"))
+                     "comp", "n", "l", "left", "rank", "mark", "first"))
     # By number: the rows are few for the work they make, and would be coalesced by their bytes.
     tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = (cells.repartition(tasks, *cell).sortWithinPartitions(*cell, "doc")
-             .mapInArrow(_crossing, "a long, b long, need long, shared long"))
-    return (pairs.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared"))
-            .filter("shared >= need").select("a", "b"))
+    return (cells.repartition(tasks, *cell).sortWithinPartitions(*cell, "doc")
+            .mapInArrow(_crossing, "a long, b long"))
+
+
+def _all_pairs(entries: DataFrame, marks: DataFrame) -> DataFrame:
+    """Every pair across components that is not ruled out."""
+    return _crossing_pairs(entries, marks).distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
