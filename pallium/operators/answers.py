@@ -125,16 +125,40 @@ def flatten_section(df: DataFrame, keys: list[str], section: Column, pos: str =
     )
 
 
-def answer_tables(parsed: DataFrame, keys: list[str], answer_col: str = "answer") -> dict[str, DataFrame]:
+def _section_rows(answer: Column) -> Column:
+    """The rows that an answer has in all six tables, as one array."""
+    kinds = {f.name: f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType for f in ANSWER_SCHEMA.fields}
+
+    def row(name: str, pos: Column, item: Column) -> Column:
+        items = [(item if other == name else F.lit(None)).cast(kind).alias(other) for other, kind in kinds.items()]
+        return F.struct(F.lit(name).alias("section"), pos.cast("bigint").alias("pos"), *items)
+
+    none, rows = F.lit(None), []
+    for field in ANSWER_SCHEMA.fields:
+        name, section = field.name, answer[field.name]
+        if isinstance(field.dataType, T.ArrayType):
+            made = F.transform(section, lambda item, pos: row(name, pos, item))
+            rows.append(F.when(F.size(section) > 0, made).otherwise(F.array(row(name, none, none))))
+        else:
+            rows.append(F.array(row(name, none, section)))
+    return F.concat(*rows)
+
+
+def answer_tables(parsed: DataFrame, keys: list[str], answer_col: str = "answer",
+                  together: bool = False) -> dict[str, DataFrame] | DataFrame:
     """A5 for every section: one child table per section, keyed by ``keys``.
 
     The four list sections give one row per element (``pos`` keeps the
     order; documents without the section keep one all-null row). The two
     object sections give one row per document with their fields as columns
     (lists stay arrays). Each table is a projection of ``parsed``: no
-    shuffle.
+    shuffle. ``together`` gives the rows of all tables as one DataFrame, made
+    in one pass over ``parsed``: ``keys``, ``section``, ``pos`` and a struct
+    per section, null but for the row's own.
     """
     a = F.col(answer_col)
+    if together:
+        return parsed.select(*keys, F.explode(_section_rows(a)).alias("row")).select(*keys, "row.*")
     out: dict[str, DataFrame] = {}
     for field in ANSWER_SCHEMA.fields:
         section = a[field.name]

@@ -173,15 +173,15 @@ _SECTIONS_SQL = [
     for section, pos, when, shown in _SECTIONS_SQL))
 def q_answer_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["l_orderkey", "l_linenumber"]
-    tables = an.answer_tables(an.parse_answer(_full_answers(spark, sf_dir), "raw"), keys)
-    out = None
+    made = an.answer_tables(an.parse_answer(_full_answers(spark, sf_dir), "raw"), keys, together=True)
+    shown = {}
     for section, fields in _SECTION_FIELDS.items():
-        made = tables[section]
-        cells = [F.coalesce(F.array_join(f.name, ",") if isinstance(f.dataType, T.ArrayType) else F.col(f.name), F.lit("-")) for f in fields]
-        pos = F.coalesce("pos", F.lit(-1).cast("bigint")) if "pos" in made.columns else F.lit(-1).cast("bigint")  # -1: no place
-        shown = made.select(*keys, F.lit(section).alias("section"), pos.alias("pos"), F.concat_ws("~", *cells).alias("fields"))
-        out = shown if out is None else out.unionByName(shown)
-    return out
+        cells = [(f, F.col(section)[f.name]) for f in fields]
+        shown[section] = F.concat_ws("~", *[F.coalesce(F.array_join(c, ",") if isinstance(f.dataType, T.ArrayType) else c, F.lit("-"))
+                                            for f, c in cells])
+    fields = F.coalesce(*[F.when(F.col("section") == section, text) for section, text in shown.items()])
+    pos = F.coalesce("pos", F.lit(-1).cast("bigint"))  # -1: no place
+    return made.select(*keys, "section", pos.alias("pos"), fields.alias("fields"))
 
 
 # Summaries from orders with fields nulled by key ----------------------------
